@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_classifier, quality_rules, token_counts, url_filter, warc_audit
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, license_scan, quality_classifier, quality_rules, token_counts, url_filter, warc_audit
 from .common import stored, table
 
 #: (host, path, verdict)
@@ -22,6 +22,19 @@ def op1_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_audit.audited_records(a, b)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +66,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     return named.select(F.get("doc_ids", F.col("i")).alias("doc_id"), "file", "doc", "start", "n_tokens")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan.scan(docs, license_scan.train(docs), ["doc_id"])
+    sure = F.filter("found", lambda x: x["confirmed"])
+    return found.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_named"), F.size(sure).cast("long").alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",").alias("families"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers as P
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), P.path(tokenizer), P.PATTERN, ["doc_id"])
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
     return got.select("page_id", "host", "path", "rule", "verdict")

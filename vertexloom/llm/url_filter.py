@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, stored
+from .common import broadcast_if, components, stored
 
 #: rules are broadcast up to so many rows (under 200 bytes each)
 BROADCAST_RULES = 50_000
@@ -53,30 +53,6 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return made.where("dst <> '' and dst <> src")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (its least node): alternating large-star and small-star steps.
-
-    Each step is a groupBy-min (combined before the shuffle) and one equi-join (AQE splits a hot
-    node); rounds grow with the logarithm of the longest chain.  An empty edge table costs one job."""
-    e = stored(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(max_rounds):
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (state.n, state.h) == seen or not state.n:
-            break
-        seen = (state.n, state.h)
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e1 = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e1 = e1.unionAll(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()  # large star
-        low = e1.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = e1.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(e2.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")  # small star
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct())
-
-
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page columns, host, path, rule and rule_verdict (null where none fits).
 

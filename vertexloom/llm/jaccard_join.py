@@ -59,15 +59,22 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Shingler:
     """Texts to sorted arrays of 64-bit shingle hashes; word hashes are kept while there is room."""
 
     def __init__(self, width: int = SHINGLE, room: int = 300_000):
-        self.width, self.room, self.seen = width, room, {}
+        self.width, self.room, self.seen = width, room, WordHashes()
 
     def __call__(self, text: str | None):
         import numpy as np
-        import xxhash
 
         words = (text or "").lower().split()
         if not words:
@@ -75,14 +82,13 @@ class Shingler:
         seen = self.seen
         if len(seen) > self.room:
             seen.clear()
-        for w in set(words) - seen.keys():
-            seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(words))
         out = np.full(len(words) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - k + 1 + i])
-        return np.unique(out)
+        for i in range(k):  # a polynomial of the words' hashes, mixed once
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += h[i : len(words) - k + 1 + i]
+        return np.unique(_mix(out))
 
 
 def minhash(sets: list, tokens: int):

@@ -43,7 +43,8 @@ def read_matrix_market(spark: SparkSession, path) -> tuple[DataFrame, bool]:
     body = lines.where((F.col("line") > first) & (F.trim("value") != ""))
     f = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     undirected = bool(head) and any(w in head[0][0].lower() for w in ("symmetric", "hermitian"))
-    return body.select(f[0].cast("long").alias("src"), f[1].cast("long").alias("dst")), undirected
+    # only body lines are split into numbers, whatever the order of filters
+    return body.select(f[0].try_cast("long").alias("src"), f[1].try_cast("long").alias("dst")), undirected
 
 
 def decode_edges(raw: bytes):

@@ -69,6 +69,11 @@ def transpose_tag(tag: Column) -> Column:
     return encode_tag(part, owner)
 
 
+def replace_text(x: Column, old: str, new: str) -> Column:
+    """Every occurrence of a literal string replaced."""
+    return F.replace(x, F.lit(old), F.lit(new)) if old else x
+
+
 def millis(seconds: Column) -> Column:
     return seconds * 1e3
 

@@ -390,6 +390,25 @@ def pagerank_spmv(spark, sf):
     return _rounded(PR.spmv(PR.spmv_weights(g), x), 9)
 
 
+_K = f"with {E_TRADE}, {_DEG}, d as (select src as id, count(*) as deg from e group by src), r as (select v.id, coalesce(deg, 0) as deg, 1.0::double / n as rank from v left join d using (id), n)"
+for _k, _sql in {
+    "tmp": "select id, round(rank / deg, 12) as tmp from r where deg > 0", "update": "select dst, round(sum(rank / deg), 12) as s from e join r on r.id = src group by dst",
+    "base": "select round(sum(case when deg = 0 then rank else 0 end) * (0.85::double / max(n)) + 0.15::double / max(n), 12) as x from r, n", "asum": "select round(sum(rank), 12) as x from r",
+    "dest": "select dst as id, round(sum(rank / deg) * 0.85::double + 0.15::double / max(n), 12) as x from e join r on r.id = src, n group by dst", "base_mapped": "select id, round(case when deg = 0 then rank else 0 end, 12) as x from r",
+}.items():
+    query(f"{_K} {_sql}", f"kernel_{_k}")(lambda spark, sf, k=_k: _rounded(PR.kernels(g_trade(spark, sf))[k], 12))
+
+
+@query("with q as (select quantile_cont(value, [0.25, 0.5, 0.75]) as c from events) select event_id, len(list_filter(c, lambda x: value > x)) as bin from events, q")
+def value_bins(spark, sf):
+    return A.percentile_bins(spark.read.parquet(f"{sf}/events.parquet"), "value", 4).select("event_id", F.col("bin").cast("long").alias("bin"))
+
+
+@query("select event_id, replace(event_type, 'c', 'K_') as t, ts is not null as there from events")
+def replace_text(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", S.replace_text(F.col("event_type"), "c", "K_").alias("t"), F.col("ts").isNotNull().alias("there"))
+
+
 # --- generators -------------------------------------------------------------------------------------------------------
 
 _edges("gen_regular", lambda s, d: G.regular(s, 1000, 5, 3), "select v as src, ((v + k) * 3) % 1000 as dst from (select unnest(range(1000)) as v), (select unnest(range(5)) as k)")

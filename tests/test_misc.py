@@ -64,6 +64,16 @@ def test_dense_ids(spark):
     assert [r.id for r in got] == list(range(3, 1003))
 
 
+def test_clear_scratch(spark, tmp_path):
+    from vertexloom.plans import scratch
+
+    kept = scratch.stored(spark.range(3), "x")
+    assert kept.count() == 3
+    scratch.clear_scratch(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        scratch.stored(spark.range(3), "y").unionAll(kept).count()
+
+
 def test_numbered_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\n".join(f"a{i}" for i in range(50)))
     (tmp_path / "b.txt").write_text("b0\nb1\n")

@@ -21,34 +21,33 @@ def _uniform(*key, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def erdos_renyi(spark: SparkSession, n: int, m: int, seed: int = 12345) -> Graph:
+def erdos_renyi(spark: SparkSession, n: int, m: int, seed: int = 12345, piece: int = 1 << 17) -> Graph:
     """About m edges: each ordered pair (but (0, 0)) with probability m / n^2, by geometric skips.
 
-    Every source draws its own chain of skips over its row, so rows are independent tasks; a row
-    expects m / n edges, and one task walks whole rows only."""
+    Bands of rows that expect about ``piece`` edges are tasks of their own; each walks its cells with
+    its own chain of skips, seeded by the band's number, and emits edges piece by piece."""
     p = min(1.0, m / (n * n)) if n else 0.0
     if p <= 0:
         return Graph(spark.range(0).select(F.col("id").alias("src"), F.col("id").alias("dst")), n)
+    rows = max(1, min(n, int(piece * n / m)))
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         for b in batches:
-            src, dst = [], []
-            for v in b["id"].to_numpy():
-                g = np.random.default_rng([seed, int(v)])
-                at = -1
-                while at < n:
-                    step = g.geometric(p, max(16, int(1.2 * m / n)))
-                    places = at + np.cumsum(step)
-                    keep = places[places < n]
-                    dst.append(keep), src.append(np.full(len(keep), v))
-                    at = int(places[-1])
-            out = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}) if src else pd.DataFrame({"src": [], "dst": []})
-            yield out[(out["src"] != 0) | (out["dst"] != 0)].astype("int64")
-
-    return Graph(spark.range(n).mapInPandas(run, "src long, dst long"), n)
+            for band in b["id"].tolist():
+                g = np.random.default_rng([seed, band])
+                first, end = band * rows * n, min(n, (band + 1) * rows) * n
+                at = first - 1
+                while at < end:
+                    cells = at + np.cumsum(g.geometric(p, piece))
+                    at = int(cells[-1])
+                    cells = cells[(cells < end) & (cells > 0)]
+                    yield pd.DataFrame({"src": cells // n, "dst": cells % n})
+
+    bands = -(-n // rows)
+    return Graph(spark.range(0, bands, 1, min(bands, 1 << 14)).mapInPandas(run, "src long, dst long"), n)
 
 
 def blocked_random(spark: SparkSession, blocks: int, n: int, m: int, seed: int = 12345) -> Graph:

@@ -39,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's stored tables, once results that read them have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many and one."""
     return df.limit(rows + 1).count() <= rows
@@ -77,10 +84,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = (state.n, state.h)
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # minima are stored before they are joined: AQE splits a hot node between two plain exchanges only
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         e1 = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e1 = e1.unionAll(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()  # large star
-        low = e1.groupBy("u").agg(F.min("v").alias("m"))
+        e1 = stored(e1, "large-star")
+        low = stored(e1.groupBy("u").agg(F.min("v").alias("m")), "low")
         e2 = e1.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(e2.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")  # small star
     else:

@@ -70,7 +70,7 @@ class WordHashes(dict):
 class Shingler:
     """Texts to sorted arrays of 64-bit shingle hashes; word hashes are kept while there is room."""
 
-    def __init__(self, width: int = SHINGLE, room: int = 300_000):
+    def __init__(self, width: int = SHINGLE, room: int = 100_000):
         self.width, self.room, self.seen = width, room, WordHashes()
 
     def __call__(self, text: str | None):
@@ -173,7 +173,7 @@ def _split(nodes: DataFrame, tokens: int, threshold: float) -> DataFrame:
             got = _child(path[row], coord, sketch[row, coord]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(got), b.column(b.schema.get_field_index("doc")).take(pa.array(row))], names=["path", "doc"])
 
-    return nodes.mapInArrow(run, f"path long, doc {nodes.schema['doc'].dataType.simpleString()}")
+    return nodes.mapInArrow(run, f"path long, doc {nodes.schema['doc'].dataType.simpleString()}").select("doc", "path")
 
 
 def _forest(a, b, n: int) -> list[int]:
@@ -219,13 +219,18 @@ def _compare(buckets: DataFrame, tokens: int, alike: float) -> DataFrame:
                     src.append(doc[i]), dst.append(doc[i + 1])
             for s, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
                 part = sketch[s : s + n]
-                a, b = [], []
+                label = np.arange(n)
                 for i in range(n - 1):
-                    same = np.flatnonzero((part[i + 1 :] == part[i]).mean(1) >= alike)
-                    a.extend([i] * len(same)), b.extend((same + i + 1).tolist())
-                for i, r in enumerate(_forest(a, b, n)):
-                    if i != r:
-                        src.append(doc[s + i]), dst.append(doc[s + r])
+                    # texts already joined need no comparison: only classes matter here
+                    other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+                    if not len(other):
+                        continue
+                    same = other[(part[other] == part[i]).mean(1) >= alike]
+                    if len(same):
+                        joined = np.unique(np.append(label[same], label[i]))
+                        label[np.isin(label, joined)] = joined[0]
+                for i in np.flatnonzero(label != np.arange(n)).tolist():
+                    src.append(doc[s + i]), dst.append(doc[s + int(label[i])])
             return pa.RecordBatch.from_arrays([pa.array(src, table.schema.field("doc").type), pa.array(dst, table.schema.field("doc").type)], names=["src", "dst"])
 
         for b in batches:
@@ -251,13 +256,14 @@ def candidate_edges(rec: DataFrame, tokens: int, threshold: float, bucket: int,
     frontier, found = rec.where("paths is not null").select("doc", F.explode("paths").alias("path")), []
     for level in range(1, depth + 1):
         frontier = stored(frontier, "paths")
-        sizes = frontier.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        # stored, so that the join with the hot nodes' rows is one that AQE can split
+        sizes = stored(frontier.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         placed = stored(frontier.join(sizes, "path"), "nodes")
-        small, large = placed.where(F.col("n") <= bucket), placed.where(F.col("n") > bucket)
-        found.append(small.select("path", "doc"))
+        found.append(placed.where(F.col("n") <= bucket).select("path", "doc"))
+        large = placed.where(F.col("n") > bucket)
         if large.isEmpty():
             break
-        if level == depth:  # groups that no token splits: tiles of pairs of blocks
+        if level == depth:  # groups of close texts that tokens hardly split: tiles of pairs of blocks
             half = max(1, bucket // 2)
             blocks = F.ceil(F.col("n") / half).cast("int")
             mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
@@ -400,19 +406,20 @@ def _shingles(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc", "comp", "n", "text").mapInArrow(run, f"doc {kind}, comp {kind}, n long, shingles binary")
 
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = 0.999, tokens: int = 64, levels: int = 3, depth: int = 8, bucket: int = 128, tile: int = 256, slack: float = 0.22) -> DataFrame:
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = 0.999, tokens: int = 64, levels: int = 3, depth: int = 8, bucket: int = 2048, tile: int = 512, slack: float = 0.22) -> DataFrame:
     """doc_id, rep_id, class_id, n_links for every row of ``docs``.
 
     rep_id: the least id of the rows with the same text; class_id: the least rep_id of the texts
     linked to it, directly or over others; n_links: how many different texts it links to."""
     rec = stored(records(docs, runs_for(recall, levels, tokens), tokens, threshold, width), "sketches")
-    reps = rec.groupBy("key").agg(F.min("doc_id").alias("rep_id"))
+    reps = stored(rec.groupBy("key").agg(F.min("doc_id").alias("rep_id")), "reps")  # stored: AQE splits a hot text
     named = stored(rec.select("doc_id", "key").join(reps, "key").select("doc_id", "rep_id"), "named")
     texts = rec.join(reps.where("rep_id is not null"), (rec["doc_id"] == reps["rep_id"]) & (rec["key"] == reps["key"])).select(F.col("rep_id").alias("doc"), "size", "paths", "sketch").dropDuplicates(["doc"])
     texts = stored(texts, "texts")
     edges = candidate_edges(texts, tokens, threshold, bucket, depth, threshold - slack)
     comp = stored(components(edges).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "groups")
-    sized = stored(comp.join(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp"), "sized")
+    sizes = stored(comp.groupBy("comp").agg(F.count("*").alias("n")), "group-sizes")
+    sized = stored(comp.join(sizes, "comp"), "sized")
     # texts of group members only; the member side is broadcast by Spark where it is small
     member = docs.select(F.col("doc_id").alias("doc"), "text").join(sized, "doc").dropDuplicates(["doc"])
     sets = stored(_shingles(member, width), "sets")

@@ -110,8 +110,8 @@ def assortativity(g: Graph) -> DataFrame:
     si = i.agg(F.sum((F.col("i") + 1) * F.col("i")).alias("s_i"), F.sum((F.col("i") + 1) * F.col("i") * F.col("i")).alias("s_ii"))
     one = oi.join(F.broadcast(so)).join(F.broadcast(si)).select(*(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("s_oi", "s_o", "s_i", "s_oo", "s_ii", "m")))
     m, x = F.col("m").cast("double"), {c: F.col(c).cast("double") for c in ("s_oi", "s_o", "s_i", "s_oo", "s_ii")}
-    over = x["s_oi"] - F.try_divide(x["s_o"] * x["s_i"], m)
-    root = F.sqrt((x["s_oo"] - F.try_divide(x["s_o"] * x["s_o"], m)) * (x["s_ii"] - F.try_divide(x["s_i"] * x["s_i"], m)) + 1)
+    over = m * x["s_oi"] - x["s_o"] * x["s_i"]
+    root = F.sqrt((m * x["s_oo"] - x["s_o"] * x["s_o"]) * (m * x["s_ii"] - x["s_i"] * x["s_i"]) + 1)
     return one.select("s_oi", "s_o", "s_i", "s_oo", "s_ii", F.coalesce(over / root, F.lit(0.0)).alias("value"))
 
 

@@ -220,7 +220,7 @@ def avg_nbr_out(spark, sf):
     return _rounded(St.avg_neighbour_degree(g_parts(spark, sf), "out"), 9)
 
 
-@query(f"with {E_PARTS}, o as (select src, count(*) - 1 as o from e group by src), i as (select dst, count(*) - 1 as i from e group by dst), s as (select cast(sum(o * i) as bigint) as s_oi, cast(sum(o) as bigint) as s_o, cast(sum(i) as bigint) as s_i, cast(sum(o * o) as bigint) as s_oo, cast(sum(i * i) as bigint) as s_ii, cast(count(*) as double) as m from e join o using (src) join i using (dst)) select s_oi, s_o, s_i, s_oo, s_ii, round((s_oi - cast(s_o as double) * s_i / m) / sqrt((s_oo - cast(s_o as double) * s_o / m) * (s_ii - cast(s_i as double) * s_i / m) + 1), 9) as value from s")
+@query(f"with {E_PARTS}, o as (select src, count(*) - 1 as o from e group by src), i as (select dst, count(*) - 1 as i from e group by dst), s as (select cast(sum(o * i) as bigint) as s_oi, cast(sum(o) as bigint) as s_o, cast(sum(i) as bigint) as s_i, cast(sum(o * o) as bigint) as s_oo, cast(sum(i * i) as bigint) as s_ii, cast(count(*) as double) as m from e join o using (src) join i using (dst)) select s_oi, s_o, s_i, s_oo, s_ii, round((m * s_oi - cast(s_o as double) * s_i) / sqrt((m * s_oo - cast(s_o as double) * s_o) * (m * s_ii - cast(s_i as double) * s_i) + 1), 9) as value from s")
 def assortativity(spark, sf):
     return _rounded(St.assortativity(g_parts(spark, sf)), 9)
 

@@ -17,25 +17,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import read_ranks
+from .common import text_slices
+
 
 def write_token_blocks(docs: DataFrame, rank_file: str, pattern: str, eod: int, block_tokens: int = 1 << 18) -> DataFrame:
     """file, block, tokens (little-endian 16-bit ids), doc_ids: the stream of each partition.
 
     ``doc_ids`` lists the documents that end in a block, in order, as a check beside the stream;
     the scan doesn't read it.  A file is what one partition of ``docs`` holds; null text: empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))  # the driver's file; some 2 MB
     schema = f"file long, block long, tokens binary, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>"
 
     def run(batches):
-        import base64
-
         import numpy as np
         import pyarrow as pa
         import tiktoken
         from pyspark import TaskContext
 
-        with open(rank_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
         file = TaskContext.get().partitionId()
         open_ids, waiting, ended, block = [], 0, [], 0
 
@@ -49,17 +49,17 @@ def write_token_blocks(docs: DataFrame, rank_file: str, pattern: str, eod: int,
                 ended = [(e - len(cut), d) for e, d in ended[here:]]
                 open_ids, waiting, block = [rest], len(rest), block + 1
 
-        for b in batches:
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            id_type = ids.type
-            for d, t in zip(ids.to_pylist(), b.column(b.schema.get_field_index("text")).to_pylist()):
-                got = enc.encode_ordinary(t or "")
-                got.append(eod)
-                open_ids.append(np.array(got, "<u2"))
-                waiting += len(got)
-                ended.append((waiting, d))
-                if waiting >= block_tokens:
-                    yield from flush()
+        for whole in batches:
+            id_type = whole.column(whole.schema.get_field_index("doc_id")).type
+            for b in text_slices(whole, "text", 2 << 20):
+                for d, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(b.schema.get_field_index("text")).to_pylist()):
+                    got = enc.encode_ordinary(t or "")
+                    got.append(eod)
+                    open_ids.append(np.array(got, "<u2"))
+                    waiting += len(got)
+                    ended.append((waiting, d))
+                    if waiting >= block_tokens:
+                        yield from flush()
         if waiting:
             yield from flush(True)
 

@@ -250,7 +250,7 @@ def test_bpe_folds_alike(spark, encoding):
     g = random.Random(6)
     words = ["".join(g.choice("abcdeinorst éüß漢") for _ in range(g.randint(1, 14))) for _ in range(300)]
     got = {r.word: tuple(r.ids) for r in byte_bpe.fold_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), ranks, bundle=50).collect()}
-    assert got == {w: byte_bpe.fold_word(w.encode(), ranks) for w in words} == {w: byte_bpe.fold_word(w.encode(), ranks, short=0) for w in words}
+    assert got == {w: byte_bpe.fold_word(w.encode(), ranks) for w in words} == {w: byte_bpe.fold_word(w.encode(), ranks, byte_bpe.pair_ranks(ranks)) for w in words}
 
 
 def test_license_scan(spark, odd):

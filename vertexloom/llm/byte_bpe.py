@@ -3,10 +3,10 @@
 Encoding: distinct words (matches of the split pattern) are counted over all texts; the words of
 the encoder's dictionary are split into bytes and folded by Spark higher-order functions: each
 step merges the neighbours of the lowest rank, looked up in a literal rank map (hex-spelt bytes,
-dealt to small maps because a map look-up is a scan).  The dictionary is broadcast: it holds the
+dealt to small maps because a map look-up is a scan; see rank_maps).  The dictionary is broadcast: it holds the
 most frequent words, ``max_words`` at most, whatever the corpus.  A word outside it, rare by
-construction, is folded by the same rule where it occurs (``fold_word``, a heap over neighbours,
-n log n for words of any length).  Decoding concatenates the pieces' bytes.
+construction, is folded by the same rule where it occurs (``fold_word``: a scan of the neighbours'
+ranks for short words, a heap for long ones, n log n at any length).  Decoding concatenates the pieces' bytes.
 
 Defined cases: null text is the empty text (no ids, empty bytes); ids outside the vocabulary are
 an error on decoding; repeated rows come back repeatedly; an empty table gives an empty result.
@@ -35,8 +35,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def compile_pattern(pattern: str):
-    r"""``pattern`` with \p{L}, \p{N}, \s and \S as explicit sets, for the standard library's matcher."""
+def explicit_pattern(pattern: str) -> str:
+    r"""``pattern`` with \p{L}, \p{N}, \s and \S as explicit sets, for the standard library's matcher.
+
+    Made once on the driver; tasks compile the string, which the matcher keeps per process."""
     import sys
     import unicodedata
 
@@ -64,20 +66,47 @@ def compile_pattern(pattern: str):
             body = sets[r"\s"] if token == r"\S" else sets[token]
             out.append(body if inside and token != r"\S" else f"[{'^' if token == chr(92) + 'S' else ''}{body}]")
             i += len(token)
-    return re.compile("".join(out))
+    return "".join(out)
 
 
-def fold_word(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Merge the leftmost pair of the lowest rank until none is left."""
-    import heapq
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """(left rank << 32 | right rank) -> rank of the joined piece, for every way to split a piece in two."""
+    out = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                out[a << 32 | b] = rank
+    return out
+
 
+def fold_word(word: bytes, ranks: dict[bytes, int], pairs: dict[int, int] | None = None, short: int = 64) -> tuple[int, ...]:
+    """Merge the leftmost pair of the lowest rank until none is left.
+
+    With ``pairs`` short words scan a list of their neighbours' ranks; others keep a heap, n log n
+    for any length."""
     whole = ranks.get(word)
     if whole is not None:
         return (whole,)
     n = len(word)
-    part = [word[i : i + 1] for i in range(n)]
+    if pairs is not None and n <= short:
+        none, get = 1 << 62, pairs.get
+        ids = [ranks[word[i : i + 1]] for i in range(n)]
+        rank = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while rank and (least := min(rank)) != none:
+            i = rank.index(least)
+            ids[i] = least
+            del ids[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = get(least << 32 | ids[i + 1], none)
+            if i:
+                rank[i - 1] = get(ids[i - 1] << 32 | least, none)
+        return tuple(ids)
+    part, get = [word[i : i + 1] for i in range(n)], ranks.get
+    import heapq
+
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heap = [(r, i, 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
         _, i, size = heapq.heappop(heap)
@@ -90,26 +119,58 @@ def fold_word(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         if after[j] < n:
             before[after[j]] = i
         for a in (before[i], i):
-            if a >= 0 and after[a] < n and (r := ranks.get(part[a] + part[after[a]])) is not None:
+            if a >= 0 and after[a] < n and (r := get(part[a] + part[after[a]])) is not None:
                 heapq.heappush(heap, (r, a, len(part[a]) + len(part[after[a]])))
     return tuple(ranks[part[i]] for i in range(n) if alive[i])
 
 
-def rank_maps(ranks: dict[bytes, int]) -> str:
-    """SQL for the literal rank map: an array of MAPS small maps from hex to rank, constant-folded."""
-    dealt: list[list[str]] = [[] for _ in range(MAPS)]
+# Fixed value: the split pattern whose words hold a space only as their first character or inside a
+# run of white space.  Cutting a text before every space then cuts no word, unless white space
+# stands on both sides of a space or a space ends a run at the text's end.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_white = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_joined = re.compile(f"[{_white}] (?:[{_white}]|$(?!\n))")
+
+
+def pieces_of(text: str, pattern: str) -> list[str]:
+    """The text cut before spaces, where that cuts no word; else the whole text as one piece."""
+    if pattern != SPACED or _joined.search(text):
+        return [text]
+    first, *rest = text.split(" ")
+    return ([first] if first else []) + [" " + x for x in rest]
+
+
+def words_in(piece: str, find) -> list[str]:
+    """The words of a piece; most are one run of letters, or one and a mark, and need no matcher."""
+    body = piece[1:] if piece[:1] == " " else piece
+    if body.isalpha():
+        return [piece]
+    if body[:-1].isalpha() and body[-1] in ".,;:!?":
+        return [piece[:-1], body[-1]]
+    return find(piece)
+
+
+def rank_maps(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row: the rank map as an array of MAPS small maps from hex to rank."""
+    dealt: list[dict[str, int]] = [{} for _ in range(MAPS)]
     for k, v in ranks.items():
         h = k.hex()
-        dealt[zlib.crc32(h.encode()) % MAPS].append(f"{h}:{v}")
-    return "array(" + ",".join(f"str_to_map('{','.join(d)}',',',':')" for d in dealt) + ")"
+        dealt[zlib.crc32(h.encode()) % MAPS][h] = v
+    return stored(spark.createDataFrame([(dealt,)], "maps array<map<string,int>>"), "ranks")
+
 
+def fold_words(words: DataFrame, ranks: dict[bytes, int], bundle: int = 1000) -> DataFrame:
+    """word, ids: ranked merges folded by higher-order functions.
 
-def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``words`` (word string) with ``ids``: ranked merges folded by higher-order functions."""
-    maps = F.expr(rank_maps(ranks))
+    Words are folded in bundles of about ``bundle``, each with the literal rank map beside it (one
+    row of some 2 MB, whatever the corpus): spelt into the expressions, the map would swell every
+    plan and its description on the driver."""
+    n = max(1, -(-words.count() // bundle))
+    bundles = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).alias("b")).agg(F.collect_list("word").alias("words"))
+    beside = bundles.repartition(min(n, 4096)).join(F.broadcast(rank_maps(words.sparkSession, ranks)))
 
     def rank(h):
-        return F.get(maps, F.pmod(F.crc32(h.cast("binary")), F.lit(MAPS)).cast("int"))[h].cast("int")
+        return F.get("maps", F.pmod(F.crc32(h.cast("binary")), F.lit(MAPS)).cast("int"))[h]
 
     def merge(p):
         pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda j: F.struct(rank(F.concat(F.get(p, j - 1), F.get(p, j))).alias("r"), j.alias("j")))
@@ -118,52 +179,118 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             F.struct(F.concat(F.slice(p, F.lit(1), b["j"] - 1), F.array(F.concat(F.get(p, b["j"] - 1), F.get(p, b["j"]))), F.slice(p, b["j"] + 2, F.size(p))).alias("p"), F.lit(True).alias("more"))))
         return F.get(done, F.lit(0))
 
-    hexed = words.withColumn("__h", F.lower(F.hex(F.encode("word", "utf-8"))))
-    parts = F.regexp_extract_all("__h", F.lit("(..)"), F.lit(1))
-    # a word that is a piece itself needs no merges
-    begin = F.struct(F.when(rank(F.col("__h")).isNotNull(), F.array("__h")).otherwise(parts).alias("p"), F.lit(True).alias("more"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__h").cast("int"))), begin, lambda a, _: F.when(a["more"] & (F.size(a["p"]) > 1), merge(a["p"])).otherwise(a), lambda a: a["p"])
-    return hexed.withColumn("__p", folded).select(*words.columns, F.transform("__p", rank).alias("ids"))
+    def fold(h):
+        # a word that is a piece itself needs no merges
+        begin = F.struct(F.when(rank(h).isNotNull(), F.array(h)).otherwise(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1))).alias("p"), F.lit(True).alias("more"))
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(h) / 2).cast("int")))
+        return F.aggregate(steps, begin, lambda a, _: F.when(a["more"] & (F.size(a["p"]) > 1), merge(a["p"])).otherwise(a), lambda a: F.transform(a["p"], rank))
 
+    one = F.transform("words", lambda w: F.struct(w.alias("word"), fold(F.lower(F.hex(F.encode(w, "utf-8")))).alias("ids")))
+    return beside.select(F.explode(one).alias("o")).select("o.word", "o.ids")
 
-def count_words(docs: DataFrame, pattern: str, text: str = "text", flush: int = 200_000) -> DataFrame:
+
+def count_words(docs: DataFrame, pattern: str, text: str = "text", flush: int = 80_000) -> DataFrame:
     """word, n over all whole texts; counted within each task first."""
 
+    explicit = explicit_pattern(pattern)
+
     def run(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        find, c = compile_pattern(pattern).findall, Counter()
+        split, c = splitter(pattern, explicit), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+            words: dict[str, int] = {}
+            for piece, n in c.items():
+                for w in split(piece):
+                    words[w] = words.get(w, 0) + n
+            c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for whole in batches:
-            for b in text_slices(whole, text, 4 << 20):
+            for b in text_slices(whole, text, 1 << 20):
                 for t in b.column(0).to_pylist():
                     if t:
-                        c.update(find(t))
+                        c.update(pieces_of(t, pattern))
                 if len(c) > flush:
                     yield out()
-                    c.clear()
         yield out()
 
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def splitter(pattern: str, explicit: str):
+    """piece -> words, by the pattern."""
+    find = re.compile(explicit).findall
+    return (lambda piece: words_in(piece, find)) if pattern == SPACED else find
+
+
 class Encoder(dict):
-    """word -> ids of the dictionary; a missing word is folded, and kept while there is room."""
+    """piece of text -> ids: the dictionary's words from the start, and the first ``room`` other pieces.
+
+    Another piece is put together from its words; a word outside the dictionary is folded here."""
+
+    def __init__(self, words, ranks: dict[bytes, int], pattern: str, explicit: str | None = None, room: int = 60_000):
+        super().__init__()
+        self.ranks, self.pattern, self.pairs = ranks, pattern, pair_ranks(ranks)
+        self.split = splitter(pattern, explicit or explicit_pattern(pattern))
+        self.prepare()
+        for w, ids in words:
+            self[w] = self.entry(ids)
+        self.most = len(self) + room
 
-    def __init__(self, words, ranks, room: int = 100_000):
-        super().__init__(words)
-        self.ranks, self.most = ranks, len(words) + room
+    def prepare(self) -> None:
+        pass
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = fold_word(word.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(self) < self.most:
-            self[word] = ids
-        return ids
+    def entry(self, ids):
+        return tuple(ids)
+
+    def joined(self, parts):
+        return tuple(i for x in parts for i in x)
+
+    def folded(self, word: str):
+        return self.entry(fold_word(word.encode("utf-8", "surrogatepass"), self.ranks, self.pairs))
+
+    def __missing__(self, piece: str):
+        words = self.split(piece)
+        if len(words) == 1:
+            value = self.folded(words[0])
+        elif not words:  # a pattern that matches nothing here
+            value = self.entry(())
+        else:
+            get, folded = self.get, self.folded
+            value = self.joined([get(w) or folded(w) for w in words])
+        if len(self) < self.most and len(piece) <= 32:
+            self[piece] = value
+        return value
+
+    def encode(self, text: str | None) -> list[int]:
+        from itertools import chain
+
+        return list(chain.from_iterable(map(self.__getitem__, pieces_of(text, self.pattern)))) if text else []
+
+
+class Tripper(Encoder):
+    """piece of text -> number of ids, the ids spelt with commas, and the bytes they decode to."""
+
+    def prepare(self) -> None:
+        top = max(self.ranks.values(), default=-1) + 1
+        self.bytes_of, self.spelt = [b""] * top, [str(i) for i in range(top)]
+        for k, v in self.ranks.items():
+            self.bytes_of[v] = k
+
+    def entry(self, ids):
+        spelt, bytes_of = self.spelt, self.bytes_of
+        return len(ids), ",".join([spelt[i] for i in ids]), b"".join([bytes_of[i] for i in ids])
+
+    def joined(self, parts):
+        n, spelt, decoded = zip(*parts)
+        return sum(n), ",".join(spelt), b"".join(decoded)
+
+    def trip(self, text: str | None) -> tuple[int, str, bytes]:
+        return self.joined(map(self.__getitem__, pieces_of(text, self.pattern))) if text else (0, "", b"")
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", max_words: int = 1 << 18) -> DataFrame:
@@ -178,18 +305,30 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
         k -= 1
         total += seen.get(k, 0)
     few = counts.where(f"octet_length(word) <= {HOF_BYTES} and length(bin(n)) >= {k}").select("word")
-    return fold_words(few.repartition(max(1, -(-total // 2000))), ranks)
+    return fold_words(few, ranks)
 
 
 def _shared(spark: SparkSession, words: DataFrame, ranks: dict[bytes, int], pattern: str):
+    """The dictionary as one Arrow buffer (max_words rows at most), opened by the tasks only."""
+    import pyarrow as pa
+
     got = words.toArrow()
-    pairs = dict(zip(got.column("word").to_pylist(), map(tuple, got.column("ids").to_pylist())))
-    return spark.sparkContext.broadcast((pairs, ranks, pattern))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as out:
+        out.write_table(got)
+    return spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks, pattern, explicit_pattern(pattern)))
 
 
-def _coder(shared):
-    pairs, ranks, pattern = shared.value
-    return compile_pattern(pattern).findall, Encoder(pairs, ranks)
+def _coder(shared, kind=Encoder) -> Encoder:
+    """The coder of a broadcast; made once per Python process and kept beside the broadcast's value."""
+    made = getattr(shared, "_coder", None)
+    if made is None:
+        import pyarrow as pa
+
+        raw, ranks, pattern, explicit = shared.value
+        got = pa.ipc.open_stream(raw).read_all()
+        made = shared._coder = kind(zip(got.column("word").to_pylist(), got.column("ids").to_pylist()), ranks, pattern, explicit)
+    return made
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, text: str = "text", **how) -> DataFrame:
@@ -199,14 +338,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None
     shared = _shared(docs.sparkSession, dictionary(docs, ranks, pattern, text, **how), ranks, pattern)
 
     def run(batches):
-        from itertools import chain
-
         import pyarrow as pa
 
-        find, enc = _coder(shared)
+        enc = _coder(shared)
         for whole in batches:
             for b in text_slices(whole, text, 4 << 20):
-                ids = [list(chain.from_iterable(map(enc.__getitem__, find(t)))) if t else [] for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+                ids = [enc.encode(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -236,23 +373,18 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], t
 
     def run(batches):
         from hashlib import sha256
-        from itertools import chain
 
         import pyarrow as pa
 
-        find, enc = _coder(shared)
-        pieces = [b""] * (max(enc.ranks.values(), default=-1) + 1)
-        for k, v in enc.ranks.items():
-            pieces[v] = k
-        spelt = [str(i) for i in range(len(pieces))]
+        coder = _coder(shared, Tripper)
         for whole in batches:
             for b in text_slices(whole, text, 4 << 20):
                 n, ids_sha, out_sha = [], [], []
                 for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                    ids = list(chain.from_iterable(map(enc.__getitem__, find(t)))) if t else []
-                    n.append(len(ids))
-                    ids_sha.append(sha256(",".join(map(spelt.__getitem__, ids)).encode()).hexdigest())
-                    out_sha.append(sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
+                    count, spelt, decoded = coder.trip(t)
+                    n.append(count)
+                    ids_sha.append(sha256(spelt.encode()).hexdigest())
+                    out_sha.append(sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

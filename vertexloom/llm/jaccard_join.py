@@ -31,11 +31,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_slices
+from .common import broadcast_if, components, stored, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SEED = 20_241
+#: ids (with two numbers at most) are broadcast up to so many rows, some 40 MB; beyond that texts are shuffled
+BROADCAST_IDS = 1_000_000
 
 
 def survival(levels: int, tokens: int) -> float:
@@ -420,8 +422,8 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     comp = stored(components(edges).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "groups")
     sizes = stored(comp.groupBy("comp").agg(F.count("*").alias("n")), "group-sizes")
     sized = stored(comp.join(sizes, "comp"), "sized")
-    # texts of group members only; the member side is broadcast by Spark where it is small
-    member = docs.select(F.col("doc_id").alias("doc"), "text").join(sized, "doc").dropDuplicates(["doc"])
+    # texts of group members only: they are picked beside the scan up to BROADCAST_IDS members, else by a shuffle
+    member = docs.select(F.col("doc_id").alias("doc"), "text").join(broadcast_if(sized, BROADCAST_IDS), "doc").dropDuplicates(["doc"])
     sets = stored(_shingles(member, width), "sets")
     blocks = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
@@ -438,7 +440,7 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """One row of each class: the one whose doc_id is the class's; rows without an id stay."""
     joined = stored(similarity_join(docs, **how), "joined")
     drop = joined.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(broadcast_if(stored(drop, "drop"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
     again = stored(joined.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return left

@@ -159,13 +159,13 @@ def rank_maps(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return stored(spark.createDataFrame([(dealt,)], "maps array<map<string,int>>"), "ranks")
 
 
-def fold_words(words: DataFrame, ranks: dict[bytes, int], bundle: int = 1000) -> DataFrame:
+def fold_words(words: DataFrame, ranks: dict[bytes, int], bundle: int = 1000, total: int | None = None) -> DataFrame:
     """word, ids: ranked merges folded by higher-order functions.
 
     Words are folded in bundles of about ``bundle``, each with the literal rank map beside it (one
     row of some 2 MB, whatever the corpus): spelt into the expressions, the map would swell every
     plan and its description on the driver."""
-    n = max(1, -(-words.count() // bundle))
+    n = max(1, -(-(words.count() if total is None else total) // bundle))
     bundles = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).alias("b")).agg(F.collect_list("word").alias("words"))
     beside = bundles.repartition(min(n, 4096)).join(F.broadcast(rank_maps(words.sparkSession, ranks)))
 
@@ -298,14 +298,14 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 
     Kept are the words counted 2**k times or more, for the least k that fits; at least twice, as a
     word met once is folded where it stands at the same cost."""
-    counts = stored(count_words(docs, pattern, text), "words")
-    seen = {r.k: r.c for r in counts.where(f"octet_length(word) <= {HOF_BYTES} and n > 1").groupBy(F.expr("length(bin(n))").alias("k")).agg(F.count("*").alias("c")).collect()}
+    counts = stored(count_words(docs, pattern, text).where(f"octet_length(word) <= {HOF_BYTES} and n > 1"), "words")
+    seen = {r.k: r.c for r in counts.groupBy(F.expr("length(bin(n))").alias("k")).agg(F.count("*").alias("c")).collect()}
     k, total = 64, 0
     while k > 2 and total + seen.get(k - 1, 0) <= max_words:
         k -= 1
         total += seen.get(k, 0)
-    few = counts.where(f"octet_length(word) <= {HOF_BYTES} and length(bin(n)) >= {k}").select("word")
-    return fold_words(few, ranks)
+    few = counts.where(f"length(bin(n)) >= {k}").select("word")
+    return fold_words(few, ranks, total=total)
 
 
 def _shared(spark: SparkSession, words: DataFrame, ranks: dict[bytes, int], pattern: str):

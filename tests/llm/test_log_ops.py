@@ -66,6 +66,32 @@ def test_aliases_follow(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow"}
 
 
+def test_targets_resolve(spark):
+    # the examples of RFC 3986, 5.4, without fragments
+    want = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q", "g#s": "http://a/b/c/g",
+        "g?y#s": "http://a/b/c/g?y", ";x": "http://a/b/c/;x", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g",
+        "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x",
+        " http://h/x#s\n": "http://h/x", "g:h": None, "about:blank": None,
+    }
+    d = spark.createDataFrame([(k,) for k in want], "to string")
+    assert {r.to: r.url for r in d.select("to", url_filter.resolved(F.col("to"), F.lit("http://a/b/c/d;p?q#z")).alias("url")).collect()} == want
+    assert tuple(d.limit(1).select(url_filter.resolved(F.lit("g"), F.lit("http://a?q")), url_filter.resolved(F.lit("g"), F.lit("a/b"))).first()) == ("http://a/g", None)
+
+
+def test_relative_targets_stay_on_their_host(spark):
+    to = lambda u: f'<meta http-equiv=refresh content="0;url={u}">'
+    data = [
+        (1, "http://m.net/a/x", to("index.html")), (2, "http://m.net/a/index.html#top", '<link rel=canonical href="http://x.com/de/1">'), (3, "http://other.net/", to("index.html")), (4, "http://other.net/index.html", ""),
+        (5, "http://m.net/b?p=2", to("?p=1")), (6, "http://m.net/b?p=1", to("../a/./index.html#end")), (7, "nowhere", to("index.html")), (8, "nothing", to("index.html")), (9, "http://z.net/", to("about:blank")), (10, "http://z.com/de/", to("about:blank")),
+        (11, "http://y.net/q", '<base href="/sub/">' + to("r")), (12, "http://y.net/sub/r", '<link rel=canonical href="//x.com/de/2">'),
+    ]
+    got = {r.page_id: (r.verdict, r.component) for r in url_filter.url_filter(pages(spark, data), url_filter.rule_table(spark, URL_RULES)).collect()}
+    assert {k for k, v in got.items() if v[0] == "block"} == {1, 2, 5, 6, 10, 11, 12}
+    assert got[1][1] == got[2][1] == got[5][1] == got[6][1] != got[3][1] == got[4][1] and got[11][1] == got[12][1] != got[1][1]
+    assert [got[i][1] for i in (7, 8, 9, 10)] == [None] * 4
+
+
 def test_audit_finds_damage(spark):
     data = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(300)] + [(None, None, None), (5, "again", "")]
     base = pages(spark, data)

@@ -7,7 +7,9 @@ a blocked member and no explicitly allowed one (allow takes precedence), else al
 own rule always stands.
 
 Defined cases: null url or one without ``://``: host and path empty, no rule, allowed; null html:
-no links; repeated rows come back repeatedly; an empty table gives an empty result; extra columns
+no links; a relative target on a page whose url has no scheme and host, or a target such as
+``about:blank`` that names no host: no link; urls that differ in their fragment alone are one page;
+repeated rows come back repeatedly; an empty table gives an empty result; extra columns
 are ignored.
 """
 
@@ -27,6 +29,9 @@ CANONICAL = r"""(?i)<link\s[^>]*?rel\s*=\s*["']?canonical["']?[^>]*>"""
 REFRESH = r"""(?i)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TARGET = r"""(?i);\s*url\s*=\s*['"]?([^"'>\s]+)"""
+BASE = r"""(?i)<base\s[^>]*>"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+SITE = SCHEME + "//[^/?#]*"
 
 
 def url_parts(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -38,17 +43,47 @@ def url_parts(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def without_fragment(url: F.Column) -> F.Column:
+    return F.regexp_extract(url, r"^[^#]*", 0)
+
+
+def without_dots(path: F.Column) -> F.Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` segments taken out."""
+    parts = F.split(path, "/")
+    parts = F.slice(parts, F.lit(2), F.size(parts))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(closed, "/"))
+
+
+def resolved(to: F.Column, base: F.Column) -> F.Column:
+    """The url without fragment that ``to`` names on a page at ``base`` (RFC 3986, 5.2); null if it names no host.
+
+    Absolute targets stand as they are, as the pages' own urls do."""
+    ref = without_fragment(F.btrim(to, F.lit(" \t\n\r\f")))
+    site, base_path, base_query = F.regexp_extract(base, SITE, 0), F.regexp_extract(base, SITE + "([^?#]*)", 1), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    path, query = F.regexp_extract(ref, r"^[^?]*", 0), F.regexp_extract(ref, r"(?s)\?.*", 0)
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, r"(?s)^.*/", 0))
+    return (
+        F.when(ref.rlike(SCHEME + "//"), ref).when(ref.rlike(SCHEME) | (site == ""), F.lit(None))
+        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, SCHEME, 0), ref))
+        .when(path == "", F.concat(site, base_path, F.when(query == "", base_query).otherwise(query)))
+        .otherwise(F.concat(site, without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), query))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: a page's url and the target of its canonical link or its refresh redirect.
+    """src, dst: a page's url and the target of its canonical link or its refresh redirect, without fragments.
 
-    Targets that start with ``/`` are resolved against the page's scheme and host."""
-    tag, meta = F.regexp_extract("html", CANONICAL, 0), F.regexp_extract("html", REFRESH, 0)
-    canonical = F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
-    base = F.regexp_extract("url", r"^([^:]*://[^/?#]*)", 1)
+    Targets are resolved against the page's ``<base href>``, if it has one, or its own url."""
+    href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
+    canonical, refresh = href(F.regexp_extract("html", CANONICAL, 0)), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
+    base = href(F.regexp_extract("html", BASE, 0))
     made = (
         pages.where("url is not null and html is not null").where(F.lower("html").rlike("canonical|http-equiv"))
-        .select(F.col("url").alias("src"), base.alias("base"), F.explode(F.array(canonical, F.regexp_extract(meta, TARGET, 1))).alias("to"))
-        .select("src", F.when(F.col("to").rlike("^//"), F.concat(F.regexp_extract("base", "^[^:]*:", 0), "to")).when(F.col("to").startswith("/"), F.concat("base", "to")).otherwise(F.col("to")).alias("dst"))
+        .select("url", base.alias("base"), F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
+        .select("url", "to", F.when(F.col("base") != "", resolved(F.col("base"), F.col("url"))).alias("base"))
+        .select(without_fragment(F.col("url")).alias("src"), resolved(F.col("to"), F.coalesce("base", "url")).alias("dst"))
     )
     return made.where("dst <> '' and dst <> src")
 
@@ -79,7 +114,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def url_filter(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict and component (null outside any link)."""
-    edges = link_edges(pages) if edges is None else edges
+    edges = link_edges(pages) if edges is None else edges.select(*(without_fragment(F.col(c)).alias(c) for c in ("src", "dst")))
     comp = stored(components(edges), "components")
     judged = match_rules(pages.select("page_id", "url"), rules)
     if comp.isEmpty():
@@ -87,8 +122,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     # verdicts of the classes also count link targets that are no pages themselves
     nodes = match_rules(comp.withColumnRenamed("node", "url"), rules)
     classes = nodes.groupBy("component").agg(F.max((F.col("rule_verdict") == "block").cast("int")).alias("blocked"), F.max((F.col("rule_verdict") == "allow").cast("int")).alias("allowed"))
-    of_node = comp.join(classes, "component").select(F.col("node").alias("url"), "component", F.when((F.col("blocked") == 1) & (F.coalesce("allowed", F.lit(0)) == 0), F.lit("block")).alias("by_class"))
-    return judged.join(of_node, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "by_class", F.lit(default)).alias("verdict"), "component")
+    of_node = comp.join(classes, "component").select("node", "component", F.when((F.col("blocked") == 1) & (F.coalesce("allowed", F.lit(0)) == 0), F.lit("block")).alias("by_class"))
+    return judged.join(of_node, without_fragment(F.col("url")) == F.col("node"), "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "by_class", F.lit(default)).alias("verdict"), "component")
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -157,6 +157,38 @@ def test_counts_match_the_tokenizer(spark):
     blocks.unpersist()
 
 
+def test_flat_file_beyond_2_gb(spark, tmp_path):
+    np = pytest.importorskip("numpy")
+    n, ends = (1 << 30) + 700, [5, 1 << 29, (1 << 30) + 300]
+    with open(tmp_path / "a big.bin", "wb") as f:  # sparse
+        f.truncate(2 * n)
+        for e in ends:
+            f.seek(2 * e)
+            f.write(np.array([99], "<u2").tobytes())
+    (tmp_path / "_part-left-behind").write_bytes(b"cc")
+    got = token_counts.token_counts(token_counts.read_token_files(spark, str(tmp_path), block_tokens=1 << 22), 99).orderBy("doc").collect()
+    assert [(r.start, r.n_tokens, r.open) for r in got] == [(0, 5, False), (6, ends[1] - 6, False), (ends[1] + 1, ends[2] - ends[1] - 1, False), (ends[2] + 1, n - ends[2] - 1, True)]
+
+
+def test_query_reads_flat_files(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    from vertexloom.llm.byte_bpe import read_ranks
+
+    texts = [None, "", "hello " * 900] + [f"text {i} " * (i % 17) for i in range(100)]
+    path, folder = P.path("byte_bpe_50k.tiktoken"), tmp_path / "flat files"
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    names = token_counts.write_token_files(docs, str(folder), path, P.PATTERN, 50256)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    want = {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    files = sorted(x.name for x in folder.iterdir() if not x.name.startswith("."))
+    assert files == [f"part-{i:05d}.bin" for i in range(3)]
+    assert sum((folder / x).stat().st_size for x in files) == 2 * (sum(want.values()) + len(texts))  # ids and separators, nothing else
+    found = token_counts.token_counts(token_counts.read_token_files(spark, str(folder), block_tokens=100), 50256)
+    found = found.withColumn("file", F.regexp_extract("file", r"part-(\d+)\.bin$", 1).cast("long")).join(names, ["file", "doc"])
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == want
+
+
 def test_digest_columns(spark):
     """The query's digests on a tiny table equal a plain computation."""
     back = chat_format.read_back(chat_format.format_chat(chat_format.events_from_rows(rows(spark, CHAT[-2:])))).first()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, decontaminate, jaccard_join, license_scan, quality_classifier, quality_rules, token_counts, url_filter, warc_audit
-from .common import stored, table
+from .common import shared_dir, table
 
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -60,10 +62,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     """The documents as flat files of 16-bit ids, then every document's place and length by the scan."""
     import public_tokenizers as P
 
-    blocks = stored(token_counts.write_token_blocks(table(spark, sf_dir, "documents"), P.path(tokenizer), P.PATTERN, eod), "tokens")
-    found = token_counts.token_counts(blocks.select("file", "block", "tokens"), eod)
-    named = found.join(blocks.select("file", "block", "doc_ids"), ["file", "block"])
-    return named.select(F.get("doc_ids", F.col("i")).alias("doc_id"), "file", "doc", "start", "n_tokens")
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/token-files-{uuid.uuid4().hex}"
+    names = token_counts.write_token_files(table(spark, sf_dir, "documents"), folder, P.path(tokenizer), P.PATTERN, eod)
+    found = token_counts.token_counts(token_counts.read_token_files(spark, folder), eod)
+    found = found.withColumn("file", F.regexp_extract("file", r"part-(\d+)\.bin$", 1).cast("long"))
+    # hinted, as Spark takes the scan's documents for no larger than its blocks and would broadcast them
+    return found.join(names.hint("merge"), ["file", "doc"]).select("doc_id", "file", "doc", "start", "n_tokens")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
-from .common import text_slices
+from .common import stored, text_slices
+
+#: about so many bytes of token files are read by one task
+TASK_BYTES = 16 << 20
 
 
 def write_token_blocks(docs: DataFrame, rank_file: str, pattern: str, eod: int, block_tokens: int = 1 << 18) -> DataFrame:
@@ -66,14 +69,98 @@ def write_token_blocks(docs: DataFrame, rank_file: str, pattern: str, eod: int,
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """The uri of an existing path in the store that holds it, mount points followed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(p).toUri().toString()
+
+
+def write_token_files(docs: DataFrame, path: str, rank_file: str, pattern: str, eod: int) -> DataFrame:
+    """Write a flat file ``part-N.bin`` of little-endian 16-bit ids per partition of ``docs`` to the
+    folder ``path``, which all executors reach; returns file (N), doc (ordinal in the file), doc_id.
+
+    The files hold ids and separators alone; the returned names are for the caller, the scan doesn't
+    read them.  A file appears under its name once it is whole.  Null text: empty."""
+    spark = docs.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    uri = arrow_uri(spark, path)
+    shared = spark.sparkContext.broadcast(read_ranks(rank_file))  # the driver's file; some 2 MB
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import tiktoken
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+        task = TaskContext.get()
+        file, doc, out = task.partitionId(), 0, None
+        store, base = fs.FileSystem.from_uri(uri)
+        name, part = f"{base}/part-{file:05d}.bin", f"{base}/_part-{file:05d}-{task.taskAttemptId()}"
+        for whole in batches:
+            for b in text_slices(whole, "text", 2 << 20):
+                out = out or store.open_output_stream(part)
+                for t in b.column(b.schema.get_field_index("text")).to_pylist():
+                    out.write(np.array([*enc.encode_ordinary(t or ""), eod], "<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, file, np.int64)), pa.array(np.arange(doc, doc + b.num_rows)), b.column(b.schema.get_field_index("doc_id"))], names=["file", "doc", "doc_id"])
+                doc += b.num_rows
+        if out:
+            out.close()
+            if store.get_file_info(name).type != fs.FileType.NotFound:  # of an attempt that was lost after it
+                store.delete_file(name)
+            store.move(part, name)
+
+    return stored(docs.select("doc_id", "text").mapInArrow(run, f"file long, doc long, doc_id {docs.schema['doc_id'].dataType.simpleString()}"), "token-names")
+
+
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = 1 << 18) -> DataFrame:
-    """file (name), block, tokens of flat files in any store that Spark reads.
+    """file (name), block, tokens of flat files of any length, read by byte ranges.
+
+    The driver lists names and lengths only; a task seeks to its blocks.  Stores that Arrow cannot open
+    are read by Spark, whole files at a time, which fails on a file of 2 GB or more."""
+    from pyarrow import fs
 
-    A file is read whole by one task and must be under 2 GB (Spark's bound on a binary cell)."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.col("length"))
+    whole = spark.read.format("binaryFile").load(path)
     step = block_tokens * width
-    cut = whole.select("file", "content", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((length - 1) div {step} as int)")))).alias("i"))
-    return cut.select("file", F.col("i").cast("long").alias("block"), F.substring("content", F.col("i") * step + 1, F.lit(step)).alias("tokens"))
+    files = [(r.path, r.length) for r in whole.select("path", "length").orderBy("path").collect()]
+    try:
+        uris = [arrow_uri(spark, f) for f, _ in files]
+        for u in uris[:1]:
+            fs.FileSystem.from_uri(u)
+    except (OSError, ValueError):
+        cut = whole.select(F.col("path").alias("file"), "content", F.explode(F.expr(f"sequence(0L, greatest(0L, (length - 1) div {step}))")).alias("block"))
+        return cut.select("file", "block", F.expr(f"substring(content, cast(block * {step} + 1 as int), {step})").alias("tokens"))
+    first = [0]  # each file's first block among all
+    for _, n in files:
+        first.append(first[-1] + max(1, -(-n // step)))
+    listed = spark.sparkContext.broadcast((files, uris, first))
+
+    def run(batches):
+        from bisect import bisect_right
+
+        import pyarrow as pa
+
+        files, uris, first = listed.value
+        at, source = None, None
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                k = bisect_right(first, i) - 1
+                if k != at:
+                    store, name = fs.FileSystem.from_uri(uris[k])
+                    at, source = k, store.open_input_file(name)
+                block = i - first[k]
+                n = min(step, files[k][1] - block * step)
+                got = source.read_at(n, block * step)
+                if len(got) != n:
+                    raise OSError(f"{files[k][0]} is shorter than listed")
+                yield pa.RecordBatch.from_arrays([pa.array([files[k][0]]), pa.array([block], pa.int64()), pa.array([got], pa.binary())], names=["file", "block", "tokens"])
+
+    tasks = max(1, -(-first[-1] * step // TASK_BYTES))
+    return spark.range(0, first[-1], 1, min(tasks, max(1, first[-1]))).mapInArrow(run, "file string, block long, tokens binary")
 
 
 def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:

@@ -269,3 +269,26 @@ def test_license_scan(spark, odd):
     assert right >= 8
     assert license_scan.train(None, copies=5).classify(prose(1))[0] == "unknown"
     assert license_scan.scan(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    """Notices wrapped over lines are found whole, once each, however narrow the lines are."""
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    texts, want = [], []
+    for family, notice in (("mit", mit), ("bsd", bsd), ("gpl", gpl)):
+        for width in (76, 30):
+            body = textwrap.fill(notice, width)
+            texts += [f"{prose(1)}\n\n{body}\n\n{prose(2)}", f"{prose(3)}\n" + "\n".join(f" * {x}" for x in body.split("\n")) + f"\n{prose(4)}"]
+            want += [(family, 2, 3), (family, 1, 1)]
+    texts += [prose(i).replace(" ", "\n", 40) for i in range(5, 9)]
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in license_scan.scan(docs, license_scan.train(docs), ["doc_id"]).collect()}
+    for i, (family, line, n) in enumerate(want):
+        sure = [x for x in got[i].found if x.confirmed]
+        assert [x.family for x in sure] == [family], (i, got[i].found)
+        assert got[i].n_paragraphs == n and line - 1 <= sure[0].line <= line + 1
+    assert not any(x.confirmed for i in range(len(want), len(texts)) for x in got[i].found)

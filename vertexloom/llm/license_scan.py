@@ -1,6 +1,7 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs (lines) are scored by a multinomial logistic regression on sparse word 1- to 3-grams
+A paragraph is a run of non-blank lines.  Its single lines, windows of neighbouring lines and the
+whole of it are scored by a multinomial logistic regression on sparse word 1- to 3-grams
 over licence families and a class ``unknown``.  It is trained here: positives are the templates
 with dropped, changed and added words, negatives a bounded sample of corpus paragraphs and
 shuffled template words.  A held-back third calibrates a temperature and the least probability at
@@ -10,7 +11,9 @@ paragraph must reach ``confirm``.
 
 A paragraph without any strong word (one of a template that is no function word) is unknown at
 once: fewer than ``confirm`` of any template's pairs consist of function words alone, so it could
-not be confirmed.  Defined cases: null or empty text: no paragraphs; blank lines are none;
+not be confirmed.  Windows reach as far as a template's words can from a line, however narrowly it
+is wrapped; a window or paragraph is named only if confirmed, and where no line or smaller window
+it shares has been confirmed for that family, so that a notice counts once.  Defined cases: null or empty text: no paragraphs; blank lines are none;
 repeated rows come back repeatedly; an empty table trains on templates alone; extra columns are
 ignored.
 """
@@ -61,6 +64,13 @@ class LicenseModel:
     def __init__(self, classes, weights, bias, temperature, cutoff, confirm):
         self.classes, self.weights, self.bias, self.temperature, self.cutoff, self.confirm = classes, weights, bias, temperature, cutoff, confirm
         self.templates = {c: [_pairs(words_of(t)) for t in TEMPLATES[c]] for c in classes if c in TEMPLATES}
+        self.longest = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+        # pair -> numbers of the templates that hold it, and how many of each one's pairs confirm it
+        every = [t for c in sorted(self.templates) for t in self.templates[c]]
+        self.needed, self.holders = [confirm * len(t) for t in every], {}
+        for k, t in enumerate(every):
+            for pair in t:
+                self.holders.setdefault(pair, []).append(k)
         self.strong = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t)} - WEAK
 
     def probabilities(self, words: list[str]):
@@ -75,9 +85,11 @@ class LicenseModel:
 
     def classify(self, paragraph: str) -> tuple[str, float, bool]:
         """family (or unknown), its probability, and whether a template confirms it."""
+        return self.classify_words(words_of(paragraph))
+
+    def classify_words(self, words: list[str]) -> tuple[str, float, bool]:
         import numpy as np
 
-        words = words_of(paragraph)
         if self.strong.isdisjoint(words):
             return "unknown", 1.0, False
         p = self.probabilities(words)
@@ -88,6 +100,66 @@ class LicenseModel:
         mine = _pairs(words)
         return name, float(p[best]), any(len(t & mine) >= self.confirm * len(t) for t in self.templates[name])
 
+    def _may_confirm(self, hits) -> bool:
+        """Whether ``hits`` (sets of known pairs) hold enough of some template together."""
+        count: dict[int, int] = {}
+        for pair in set().union(*hits):
+            for k in self.holders[pair]:
+                count[k] = count.get(k, 0) + 1
+        return any(n >= self.needed[k] for k, n in count.items())
+
+    def paragraph(self, lines: list[tuple[int, str]]) -> list[dict]:
+        """What is found in one paragraph, given as (line number, text)."""
+        found = []
+        numbered = [(i, w) for i, x in lines if (w := words_of(x))]
+        strong = False
+        for i, w in numbered:
+            if self.strong.isdisjoint(w):
+                continue
+            strong = True
+            family, p, sure = self.classify_words(w)
+            if family != "unknown":
+                found.append({"line": i, "family": family, "probability": p, "confirmed": sure})
+        n = len(numbered)
+        if n < 2 or not strong:
+            return found
+        # known pairs of a line, and the one that runs into the next line
+        inside = [{x for a, b in zip(w, w[1:]) if (x := f"{a} {b}") in self.holders} for _, w in numbered]
+        across = [{x} if (x := f"{a[-1]} {b[0]}") in self.holders else set() for (_, a), (_, b) in zip(numbered, numbered[1:])]
+        if not self._may_confirm([*inside, *across]):
+            return found
+        place = {i: k for k, (i, _) in enumerate(numbered)}
+        taken = [(place[x["line"]], place[x["line"]], x["family"]) for x in found if x["confirmed"]]
+        windows = []
+        for a in range(n - 1):
+            more = 0
+            for b in range(a + 1, n):
+                if (inside[a] or across[a]) and (inside[b] or across[b - 1]):
+                    windows.append((a, b))
+                more += len(numbered[b][1])
+                if more >= self.longest:
+                    break
+        for a, b in [*sorted(windows, key=lambda w: (w[1] - w[0], w[0])), (0, n - 1)]:
+            if not self._may_confirm([*inside[a : b + 1], *across[a:b]]):
+                continue
+            family, p, sure = self.classify_words([x for _, w in numbered[a : b + 1] for x in w])
+            if sure and not any(f == family and c <= b and a <= d for c, d, f in taken):
+                taken.append((a, b, family))
+                found = [x for x in found if x["confirmed"] or x["family"] != family or not a <= place[x["line"]] <= b]
+                found.append({"line": numbered[a][0], "family": family, "probability": p, "confirmed": True})
+        return sorted(found, key=lambda x: x["line"])
+
+
+def paragraphs_of(text: str) -> list[list[tuple[int, str]]]:
+    """Runs of non-blank lines, each line with its number in the text."""
+    out: list[list[tuple[int, str]]] = [[]]
+    for i, x in enumerate(text.split("\n")):
+        if x.strip():
+            out[-1].append((i, x))
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
 
 def _train(negatives: list[str], seed: int, copies: int, confirm: float, rounds: int = 300) -> LicenseModel:
     import numpy as np
@@ -155,8 +227,8 @@ def train(docs: DataFrame | None = None, seed: int = 11, copies: int = 60, max_d
 
 
 def scan(docs: DataFrame, model: LicenseModel, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with n_paragraphs and ``found``: line, family, probability, confirmed of
-    every paragraph that is not unknown."""
+    """The columns ``keep`` with n_paragraphs and ``found``: line (the first), family, probability,
+    confirmed of every line, window or paragraph that is not unknown."""
     from pyspark.sql import types as T
 
     item = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
@@ -173,15 +245,13 @@ def scan(docs: DataFrame, model: LicenseModel, keep: list[str], text: str = "tex
             for b in text_slices(whole, text, 8 << 20):
                 count, found = [], []
                 for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                    lines = (t or "").split("\n")
-                    count.append(sum(bool(x.strip()) for x in lines))
+                    parts = paragraphs_of(t or "")
+                    count.append(len(parts))
                     got = []
                     # most texts hold no strong word at all, not even inside another word
                     if t and maybe.search(t.lower()):
-                        for i, line in enumerate(lines):
-                            family, p, sure = model.classify(line)
-                            if family != "unknown":
-                                got.append({"line": i, "family": family, "probability": p, "confirmed": sure})
+                        for lines in parts:
+                            got.extend(model.paragraph(lines))
                     found.append(got)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(count, pa.int64()), pa.array(found, kind)], names=[*keep, "n_paragraphs", "found"])
 

@@ -244,13 +244,45 @@ def test_bpe_equals_the_library(spark, odd, encoding):
     assert byte_bpe.round_trip(docs.limit(0), path, P.PATTERN, ["doc_id"]).count() == 0
 
 
-def test_bpe_folds_alike(spark, encoding):
-    path, enc = encoding
-    ranks = byte_bpe.read_ranks(path)
+def _merge(word: bytes, ranks):
+    part = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[x] for x in part]
+        i = min(found)[1]
+        part[i : i + 2] = [part[i] + part[i + 1]]
+
+
+@pytest.mark.parametrize("long", [0, 5, 64])
+def test_bpe_folds_alike(spark, encoding, long, monkeypatch):
+    """Both ways of merging against the plain rule; 0: every word merges all places at once."""
+    ranks = byte_bpe.read_ranks(encoding[0])
+    monkeypatch.setattr(byte_bpe, "LONG", long)
     g = random.Random(6)
-    words = ["".join(g.choice("abcdeinorst éüß漢") for _ in range(g.randint(1, 14))) for _ in range(300)]
-    got = {r.word: tuple(r.ids) for r in byte_bpe.fold_words(spark.createDataFrame([(w,) for w in set(words)], "word string"), ranks, bundle=50).collect()}
-    assert got == {w: byte_bpe.fold_word(w.encode(), ranks) for w in words} == {w: byte_bpe.fold_word(w.encode(), ranks, byte_bpe.pair_ranks(ranks)) for w in words}
+    words = ["".join(g.choice(a) for _ in range(g.randint(1, n))) for a, n in (("abcdeinorst éüß漢", 14), ("aab", 30), ("etaoin", 200), ("漢字", 9)) for _ in range(60)]
+    got = spark.createDataFrame([(sorted(set(words)),)], "w array<string>").select("w", byte_bpe.fold_words(F.col("w"), ranks).alias("ids")).first()
+    assert [list(x) for x in got.ids] == [_merge(w.encode(), ranks) for w in got.w]
+
+
+def test_bpe_merges_in_place_order(spark):
+    """Ranks at which merging all places at once would differ: 'aba' goes before the rest of 'ab'."""
+    ranks = {b"a": 0, b"b": 1, b"aba": 2, b"ab": 3, b"ba": 4, b"abab": 5}
+    words = ["ab" * n + "a" * m for n in range(1, 60) for m in range(3)]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(byte_bpe.fold_words(F.col("w"), ranks)).first()[0]
+    assert [list(x) for x in got] == [_merge(w.encode(), ranks) for w in words]
+
+
+def test_bpe_has_one_way_for_all_words(spark, encoding, monkeypatch):
+    """Ids come from the higher-order fold alone, whatever the dictionary holds and however often a task forgets."""
+    path, enc = encoding
+    texts = [prose(i, 60) for i in range(40)] + ["x" * 40 + "Qz" * 700, "漢字" * 300, "aAbB" * 300]
+    for asked, slice_, most in ((50, 400, 0), (1 << 20, 1000, 10), (300, 100_000, 1 << 19)):
+        monkeypatch.setattr(byte_bpe, "ASKED", asked)
+        monkeypatch.setattr(byte_bpe, "SLICE", slice_)
+        got = byte_bpe.encode(table(spark, texts).repartition(2, "doc_id"), path, P.PATTERN, keep=["doc_id"], max_words=most).collect()
+        assert {r.doc_id: r.ids for r in got} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert not [k for k in vars(byte_bpe) if k.startswith("fold") and k != "fold_words"]
 
 
 def test_license_scan(spark, odd):

@@ -1,31 +1,48 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: distinct words (matches of the split pattern) are counted over all texts; the words of
-the encoder's dictionary are split into bytes and folded by Spark higher-order functions: each
-step merges the neighbours of the lowest rank, looked up in a literal rank map (hex-spelt bytes,
-dealt to small maps because a map look-up is a scan; see rank_maps).  The dictionary is broadcast: it holds the
-most frequent words, ``max_words`` at most, whatever the corpus.  A word outside it, rare by
-construction, is folded by the same rule where it occurs (``fold_word``: a scan of the neighbours'
-ranks for short words, a heap for long ones, n log n at any length).  Decoding concatenates the pieces' bytes.
+Every word (match of the split pattern) is spelt in bytes and folded by Spark higher-order functions:
+a step merges the neighbours of the lowest rank, looked up in a literal rank map (hex-spelt bytes,
+dealt to small maps because a map look-up is a scan), until none is left.  Words of any length and
+count go this way:
+
+1. *Dictionary*: the distinct words of every slice of text are counted over the slices; the words
+   found in most slices (``max_words`` at most, so that it can be broadcast) are folded once for all.
+2. *Ask*: every task lists, slice by slice, the distinct words that neither the dictionary nor an
+   earlier slice of the task holds; they ride on the slice's first row.
+3. *Fold*: the same higher-order functions fold them, in the same task.
+4. *Spell*: the ids of all words of a slice are put in the texts' order by Arrow kernels.  Decoding
+   concatenates the pieces' bytes.
+
+Texts are read twice (dictionary, encoding) and never shuffled; only (word, slices) is.
+
+Words of more than LONG bytes merge all places of the lowest rank in one step, from left to right.
+That is the same as one by one unless a merged piece joins a neighbour (or the start of the next
+place) at a still lower rank; then one place is merged in that step.
 
 Defined cases: null text is the empty text (no ids, empty bytes); ids outside the vocabulary are
-an error on decoding; repeated rows come back repeatedly; an empty table gives an empty result.
+an error on decoding; repeated rows come back repeatedly; an empty table gives an empty result;
+a column that clashes with a result's (``ids``, ``decoded``) is replaced by it.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, text_slices
 
 MAPS = 4096
-#: words of more bytes go to fold_word, whose cost does not grow with the square
-HOF_BYTES = 64
+LONG = 64
+#: bytes of text whose words are listed at a time
+SLICE = 8 << 20
+#: words asked for in a task after which it forgets them and asks anew
+ASKED = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,6 +52,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.lru_cache(8)
 def explicit_pattern(pattern: str) -> str:
     r"""``pattern`` with \p{L}, \p{N}, \s and \S as explicit sets, for the standard library's matcher.
 
@@ -69,322 +87,389 @@ def explicit_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """(left rank << 32 | right rank) -> rank of the joined piece, for every way to split a piece in two."""
-    out = {}
-    for piece, rank in ranks.items():
-        for i in range(1, len(piece)):
-            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
-            if a is not None and b is not None:
-                out[a << 32 | b] = rank
-    return out
-
-
-def fold_word(word: bytes, ranks: dict[bytes, int], pairs: dict[int, int] | None = None, short: int = 64) -> tuple[int, ...]:
-    """Merge the leftmost pair of the lowest rank until none is left.
-
-    With ``pairs`` short words scan a list of their neighbours' ranks; others keep a heap, n log n
-    for any length."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return (whole,)
-    n = len(word)
-    if pairs is not None and n <= short:
-        none, get = 1 << 62, pairs.get
-        ids = [ranks[word[i : i + 1]] for i in range(n)]
-        rank = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while rank and (least := min(rank)) != none:
-            i = rank.index(least)
-            ids[i] = least
-            del ids[i + 1], rank[i]
-            if i < len(rank):
-                rank[i] = get(least << 32 | ids[i + 1], none)
-            if i:
-                rank[i - 1] = get(ids[i - 1] << 32 | least, none)
-        return tuple(ids)
-    part, get = [word[i : i + 1] for i in range(n)], ranks.get
-    import heapq
-
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, size = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or len(part[i]) + len(part[j]) != size:
-            continue
-        part[i] += part[j]
-        alive[j] = False
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for a in (before[i], i):
-            if a >= 0 and after[a] < n and (r := get(part[a] + part[after[a]])) is not None:
-                heapq.heappush(heap, (r, a, len(part[a]) + len(part[after[a]])))
-    return tuple(ranks[part[i]] for i in range(n) if alive[i])
-
-
-# Fixed value: the split pattern whose words hold a space only as their first character or inside a
-# run of white space.  Cutting a text before every space then cuts no word, unless white space
-# stands on both sides of a space or a space ends a run at the text's end.
-SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_white = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_joined = re.compile(f"[{_white}] (?:[{_white}]|$(?!\n))")
-
-
-def pieces_of(text: str, pattern: str) -> list[str]:
-    """The text cut before spaces, where that cuts no word; else the whole text as one piece."""
-    if pattern != SPACED or _joined.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+# --- folding -------------------------------------------------------------------------------------
 
 
-def words_in(piece: str, find) -> list[str]:
-    """The words of a piece; most are one run of letters, or one and a mark, and need no matcher."""
-    body = piece[1:] if piece[:1] == " " else piece
-    if body.isalpha():
-        return [piece]
-    if body[:-1].isalpha() and body[-1] in ".,;:!?":
-        return [piece[:-1], body[-1]]
-    return find(piece)
-
-
-def rank_maps(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """One row: the rank map as an array of MAPS small maps from hex to rank."""
+def rank_literal(ranks: dict[bytes, int]) -> F.Column:
+    """The rank map as one literal: MAPS small maps from hex to rank."""
     dealt: list[dict[str, int]] = [{} for _ in range(MAPS)]
     for k, v in ranks.items():
         h = k.hex()
         dealt[zlib.crc32(h.encode()) % MAPS][h] = v
-    return stored(spark.createDataFrame([(dealt,)], "maps array<map<string,int>>"), "ranks")
-
-
-def fold_words(words: DataFrame, ranks: dict[bytes, int], bundle: int = 1000, total: int | None = None) -> DataFrame:
-    """word, ids: ranked merges folded by higher-order functions.
+    return F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), "array<map<string,int>>")
 
-    Words are folded in bundles of about ``bundle``, each with the literal rank map beside it (one
-    row of some 2 MB, whatever the corpus): spelt into the expressions, the map would swell every
-    plan and its description on the driver."""
-    n = max(1, -(-(words.count() if total is None else total) // bundle))
-    bundles = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).alias("b")).agg(F.collect_list("word").alias("words"))
-    beside = bundles.repartition(min(n, 4096)).join(F.broadcast(rank_maps(words.sparkSession, ranks)))
 
-    def rank(h):
-        return F.get("maps", F.pmod(F.crc32(h.cast("binary")), F.lit(MAPS)).cast("int"))[h]
+def _let(value: F.Column, body) -> F.Column:
+    """``body`` of ``value``, evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def merge(p):
-        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda j: F.struct(rank(F.concat(F.get(p, j - 1), F.get(p, j))).alias("r"), j.alias("j")))
-        best = F.array_min(F.filter(pairs, lambda x: x["r"].isNotNull()))
-        done = F.transform(F.array(best), lambda b: F.when(b.isNull(), F.struct(p.alias("p"), F.lit(False).alias("more"))).otherwise(
-            F.struct(F.concat(F.slice(p, F.lit(1), b["j"] - 1), F.array(F.concat(F.get(p, b["j"] - 1), F.get(p, b["j"]))), F.slice(p, b["j"] + 2, F.size(p))).alias("p"), F.lit(True).alias("more"))))
-        return F.get(done, F.lit(0))
 
-    def fold(h):
-        # a word that is a piece itself needs no merges
-        begin = F.struct(F.when(rank(h).isNotNull(), F.array(h)).otherwise(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1))).alias("p"), F.lit(True).alias("more"))
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(h) / 2).cast("int")))
-        return F.aggregate(steps, begin, lambda a, _: F.when(a["more"] & (F.size(a["p"]) > 1), merge(a["p"])).otherwise(a), lambda a: F.transform(a["p"], rank))
+def fold_words(words: F.Column, ranks: dict[bytes, int]) -> F.Column:
+    """array<string> of words to array<array<int>> of their ids."""
 
-    one = F.transform("words", lambda w: F.struct(w.alias("word"), fold(F.lower(F.hex(F.encode(w, "utf-8")))).alias("ids")))
-    return beside.select(F.explode(one).alias("o")).select("o.word", "o.ids")
+    def folded(maps):
+        def rank(h):
+            return F.get(maps, F.pmod(F.crc32(h.cast("binary")), F.lit(MAPS)).cast("int"))[h]
 
+        def state(p, r):
+            """pieces, ranks of neighbours, and the lowest of these"""
+            return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))
 
-def count_words(docs: DataFrame, pattern: str, text: str = "text", flush: int = 80_000) -> DataFrame:
-    """word, n over all whole texts; counted within each task first."""
+        def one(p, r, m):
+            """merge the first place of the lowest rank"""
 
-    explicit = explicit_pattern(pattern)
+            def at(j, t):
+                none = F.slice(r, F.lit(1), F.lit(0))
+                left = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), t)))).otherwise(none)
+                right = F.when(j + 1 < F.size(p), F.array(rank(F.concat(t, F.get(p, j + 1))))).otherwise(none)
+                new = F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(r)))
+                return _let(new, lambda r2: state(F.concat(F.slice(p, F.lit(1), j - 1), F.array(t), F.slice(p, j + 2, F.size(p))), r2))
 
-    def run(batches):
-        from collections import Counter
+            return _let(F.array_position(r, m).cast("int"), lambda j: _let(F.concat(F.get(p, j - 1), F.get(p, j)), lambda t: at(j, t)))
 
-        import pyarrow as pa
+        def every(p, r, m):
+            """merge all places of the lowest rank, from left to right, if that equals one by one"""
+            chosen = F.split(F.replace(F.array_join(F.transform(r, lambda x: F.when(x == m, "1").otherwise("0")), ""), F.lit("11"), F.lit("10")), "")
 
-        split, c = splitter(pattern, explicit), Counter()
+            def merged(s, k):
+                new = F.transform(k, lambda i: F.when(F.get(s, i) == "1", F.concat(F.get(p, i), F.get(p, i + 1))).otherwise(F.get(p, i)))
+                hit = lambda t: F.coalesce(F.get(s, F.get(k, t)) == "1", F.lit(False))
+                ranked = lambda q: F.transform(F.slice(k, F.lit(2), F.size(k)), lambda i, t: F.when(hit(t) | hit(t + 1), rank(F.concat(F.get(q, t), F.get(q, t + 1)))).otherwise(F.get(r, i - 1)))
+                return _let(new, lambda q: _let(ranked(q), lambda r2: state(q, r2)))
 
-        def out():
-            words: dict[str, int] = {}
-            for piece, n in c.items():
-                for w in split(piece):
-                    words[w] = words.get(w, 0) + n
-            c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            kept = lambda s: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != "1"))
+            first = _let(F.array_position(r, m).cast("int"), lambda j: rank(F.concat(F.get(p, j - 1), F.get(p, j), F.get(p, j - 1))))
+            alike = lambda a: F.coalesce(a["m"] > m, F.lit(True)) & F.coalesce(first > m, F.lit(True))
+            return _let(_let(chosen, lambda s: _let(kept(s), lambda k: merged(s, k))), lambda a: F.when(alike(a), a).otherwise(one(p, r, m)))
 
-        for whole in batches:
-            for b in text_slices(whole, text, 1 << 20):
-                for t in b.column(0).to_pylist():
-                    if t:
-                        c.update(pieces_of(t, pattern))
-                if len(c) > flush:
-                    yield out()
-        yield out()
+        def ids(h):
+            size = (F.length(h) / 2).cast("int")
+            start = _let(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), lambda p: _let(F.transform(F.slice(p, F.lit(2), F.size(p)), lambda y, i: rank(F.concat(F.get(p, i), y))), lambda r: state(p, r)))
+            steps = F.sequence(F.lit(2), F.greatest(F.lit(2), size))
+            run = lambda merge: F.aggregate(steps, start, lambda a, _: F.when(a["m"].isNull(), a).otherwise(merge(a["p"], a["r"], a["m"])), lambda a: F.transform(a["p"], rank))
+            return _let(rank(h), lambda w: F.when(w.isNotNull(), F.array(w)).when(size == 0, F.array().cast("array<int>")).when(size <= LONG, run(one)).otherwise(run(every)))
 
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return F.transform(words, lambda w: _let(F.lower(F.hex(F.encode(w, "utf-8"))), ids))
 
+    return _let(rank_literal(ranks), folded)
 
-def splitter(pattern: str, explicit: str):
-    """piece -> words, by the pattern."""
-    find = re.compile(explicit).findall
-    return (lambda piece: words_in(piece, find)) if pattern == SPACED else find
 
+# --- words of texts ------------------------------------------------------------------------------
 
-class Encoder(dict):
-    """piece of text -> ids: the dictionary's words from the start, and the first ``room`` other pieces.
+# Fixed value: the split pattern whose words hold a space only as their first character or inside a
+# run of white space.  Cutting a text before every space then cuts no word, unless white space
+# stands on both sides of a space or a space ends a run at the text's end.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_white = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_joined = f"[{_white}] (?:[{_white}]|\\z)"
+#: pieces that are one word, or a word and a mark, whatever the version of Unicode
+_letters = r"\A ?[A-Za-zÀ-ÖØ-öø-ɏ]+\z"
+_marked = r"\A ?[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]\z"
 
-    Another piece is put together from its words; a word outside the dictionary is folded here."""
 
-    def __init__(self, words, ranks: dict[bytes, int], pattern: str, explicit: str | None = None, room: int = 60_000):
-        super().__init__()
-        self.ranks, self.pattern, self.pairs = ranks, pattern, pair_ranks(ranks)
-        self.split = splitter(pattern, explicit or explicit_pattern(pattern))
-        self.prepare()
-        for w, ids in words:
-            self[w] = self.entry(ids)
-        self.most = len(self) + room
+class Splitter:
+    """Arrow arrays of texts to words; pieces between spaces are split once per slice."""
 
-    def prepare(self) -> None:
-        pass
+    def __init__(self, pattern: str, explicit: str):
+        self.spaced, self.find = pattern == SPACED, re.compile(explicit).findall
 
-    def entry(self, ids):
-        return tuple(ids)
+    def _pieces(self, texts):
+        """pieces (distinct), code of every piece in the texts' order, offsets of the texts among them"""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(texts)
+        whole = np.ones(n, bool) if not self.spaced else pc.match_substring_regex(texts, _joined).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(whole)
+        cut = texts.filter(pa.array(~whole)) if len(at) else texts
+        lists = pc.split_pattern(cut, " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        off = lists.offsets.to_numpy().astype(np.int64)
+        off = off - off[0]
+        first = np.zeros(len(code), bool)
+        first[off[:-1]] = True
+        bodies = coded.dictionary
+        empty = pc.equal(bodies, "").to_numpy(zero_copy_only=False)
+        drop = first & empty[code] if len(code) else first
+        combo, kept = (2 * code + first)[~drop], ~drop
+        used = np.zeros(2 * len(bodies), bool)
+        used[combo] = True
+        both = np.flatnonzero(used)
+        number = np.cumsum(used) - 1
+        spaces = pa.array(np.where(both % 2, "", " ").astype(object), pa.string())
+        pieces = pc.binary_join_element_wise(spaces, bodies.take(pa.array(both // 2)), "")
+        sizes = np.zeros(n, np.int64)
+        sizes[~whole] = np.add.reduceat(kept.astype(np.int64), off[:-1]) if len(off) > 1 else 0
+        code = number[combo]
+        if len(at):  # texts that are one piece each
+            order = np.repeat(np.flatnonzero(~whole), sizes[~whole])
+            order = np.concatenate([order, at])
+            code = np.concatenate([code, len(pieces) + np.arange(len(at))])[np.argsort(order, kind="stable")]
+            sizes[at] = 1
+            pieces = pa.concat_arrays([pieces, texts.take(pa.array(at)).cast(pieces.type)])
+        return pieces, code, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _words(self, pieces):
+        """words (distinct), code of every word in the pieces' order, words per piece"""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        test = lambda p: pc.match_substring_regex(pieces, p).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(len(pieces), bool)
+        one, two = test(_letters), test(_marked)
+        rest = np.flatnonzero(~one & ~two)
+        one, two = np.flatnonzero(one), np.flatnonzero(two)
+        found = [self.find(x) for x in pieces.take(pa.array(rest)).to_pylist()]
+        size = np.ones(len(pieces), np.int64)
+        size[two] = 2
+        size[rest] = [len(x) for x in found]
+        marked = pieces.take(pa.array(two))
+        flat = [pieces.take(pa.array(one)), pc.utf8_slice_codeunits(marked, 0, -1), pc.utf8_slice_codeunits(marked, -1), pa.array([w for x in found for w in x], pa.string())]
+        # place of each word: its piece, then its number in the piece
+        piece = np.concatenate([one, two, two, np.repeat(rest, size[rest])])
+        turn = np.concatenate([np.zeros(len(one) + len(two), np.int64), np.ones(len(two), np.int64), np.arange(size[rest].sum()) - np.repeat(np.cumsum(size[rest]) - size[rest], size[rest])])
+        start = np.cumsum(size) - size
+        coded = pa.concat_arrays([x.cast(pa.string()) for x in flat]).dictionary_encode()
+        out = np.empty(len(piece), np.int64)
+        out[start[piece] + turn] = coded.indices.to_numpy(zero_copy_only=False)
+        return coded.dictionary, out, size
+
+    def distinct(self, texts):
+        """The distinct words of the texts."""
+        return self._words(self._pieces(texts)[0])[0]
+
+    def words(self, texts):
+        """words (distinct), code of every word in the texts' order, offsets of the texts among them"""
+        import numpy as np
+
+        pieces, code, off = self._pieces(texts)
+        words, inner, size = self._words(pieces)
+        start, mine = np.cumsum(size) - size, size[code]
+        ends = np.concatenate([[0], np.cumsum(mine)])
+        every = np.repeat(start[code] - ends[:-1], mine) + np.arange(ends[-1])
+        return words, inner[every], ends[off]
+
+
+def _texts(batch, column: str):
+    """The column as Arrow strings, null as empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def joined(self, parts):
-        return tuple(i for x in parts for i in x)
+    return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.string()), "")
 
-    def folded(self, word: str):
-        return self.entry(fold_word(word.encode("utf-8", "surrogatepass"), self.ranks, self.pairs))
 
-    def __missing__(self, piece: str):
-        words = self.split(piece)
-        if len(words) == 1:
-            value = self.folded(words[0])
-        elif not words:  # a pattern that matches nothing here
-            value = self.entry(())
-        else:
-            get, folded = self.get, self.folded
-            value = self.joined([get(w) or folded(w) for w in words])
-        if len(self) < self.most and len(piece) <= 32:
-            self[piece] = value
-        return value
+def _found(words, among):
+    """Place of each word in ``among``, -1 if it is not there."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    def encode(self, text: str | None) -> list[int]:
-        from itertools import chain
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-        return list(chain.from_iterable(map(self.__getitem__, pieces_of(text, self.pattern)))) if text else []
 
+# --- encoding ------------------------------------------------------------------------------------
 
-class Tripper(Encoder):
-    """piece of text -> number of ids, the ids spelt with commas, and the bytes they decode to."""
 
-    def prepare(self) -> None:
-        top = max(self.ranks.values(), default=-1) + 1
-        self.bytes_of, self.spelt = [b""] * top, [str(i) for i in range(top)]
-        for k, v in self.ranks.items():
-            self.bytes_of[v] = k
+def count_slices(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """word, n: the distinct words of all whole texts and how many slices of text hold each."""
+    explicit = explicit_pattern(pattern)
 
-    def entry(self, ids):
-        spelt, bytes_of = self.spelt, self.bytes_of
-        return len(ids), ",".join([spelt[i] for i in ids]), b"".join([bytes_of[i] for i in ids])
+    def run(batches):
+        import pyarrow as pa
 
-    def joined(self, parts):
-        n, spelt, decoded = zip(*parts)
-        return sum(n), ",".join(spelt), b"".join(decoded)
+        split = Splitter(pattern, explicit)
+        for whole in batches:
+            for b in text_slices(whole, text, SLICE):
+                yield pa.RecordBatch.from_arrays([split.distinct(_texts(b, text))], names=["word"])
 
-    def trip(self, text: str | None) -> tuple[int, str, bytes]:
-        return self.joined(map(self.__getitem__, pieces_of(text, self.pattern))) if text else (0, "", b"")
+    return docs.select(text).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", max_words: int = 1 << 18) -> DataFrame:
-    """word, ids of the most frequent words, between max_words/2 and max_words of them (all, if fewer).
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", max_words: int = 1 << 19) -> DataFrame:
+    """word, ids of the words found in most slices, in two slices at least: ``max_words`` at most.
 
-    Kept are the words counted 2**k times or more, for the least k that fits; at least twice, as a
-    word met once is folded where it stands at the same cost."""
-    counts = stored(count_words(docs, pattern, text).where(f"octet_length(word) <= {HOF_BYTES} and n > 1"), "words")
+    Kept are the words of 2**k slices or more, for the least k that fits.  It only saves folding a word
+    again in another task."""
+    counts = stored(count_slices(docs, pattern, text).where("n > 1"), "words")
     seen = {r.k: r.c for r in counts.groupBy(F.expr("length(bin(n))").alias("k")).agg(F.count("*").alias("c")).collect()}
     k, total = 64, 0
     while k > 2 and total + seen.get(k - 1, 0) <= max_words:
         k -= 1
         total += seen.get(k, 0)
     few = counts.where(f"length(bin(n)) >= {k}").select("word")
-    return fold_words(few, ranks, total=total)
+    bundles = few.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(1, total // 4096))).alias("b")).agg(F.collect_list("word").alias("word"))
+    folded = bundles.repartition(max(1, min(4096, total // 4096))).select("word", fold_words(F.col("word"), ranks).alias("ids"))
+    return folded.select(F.explode(F.arrays_zip("word", "ids")).alias("o")).select("o.word", "o.ids")
 
 
-def _shared(spark: SparkSession, words: DataFrame, ranks: dict[bytes, int], pattern: str):
-    """The dictionary as one Arrow buffer (max_words rows at most), opened by the tasks only."""
+def _opened(raw: bytes):
     import pyarrow as pa
 
-    got = words.toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as out:
-        out.write_table(got)
-    return spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks, pattern, explicit_pattern(pattern)))
+    return pa.ipc.open_stream(raw).read_all()
+
 
+def _asked(docs: DataFrame, keep: list[str], shared, pattern: str, explicit: str, text: str) -> DataFrame:
+    """``keep`` and text with ``ask`` (words to fold) and ``renew`` (whether earlier ones are forgotten)."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__text", T.StringType()), T.StructField("__ask", T.ArrayType(T.StringType())), T.StructField("__renew", T.BooleanType())])
 
-def _coder(shared, kind=Encoder) -> Encoder:
-    """The coder of a broadcast; made once per Python process and kept beside the broadcast's value."""
-    made = getattr(shared, "_coder", None)
-    if made is None:
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        raw, ranks, pattern, explicit = shared.value
-        got = pa.ipc.open_stream(raw).read_all()
-        made = shared._coder = kind(zip(got.column("word").to_pylist(), got.column("ids").to_pylist()), ranks, pattern, explicit)
-    return made
+        split, known = Splitter(pattern, explicit), _opened(shared.value).column("word")
+        asked = pa.array([], pa.string())
+        for whole in batches:
+            for b in text_slices(whole, text, SLICE):
+                texts = _texts(b, text)
+                words = split.distinct(texts)
+                words = words.filter(pa.array(_found(words, known) < 0))
+                renew = len(asked) + len(words) > ASKED
+                fresh = words if renew else words.filter(pa.array(_found(words, asked) < 0))
+                asked = fresh if renew else pa.concat_arrays([asked, fresh])
+                ask = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(b.num_rows + 1), 1) * len(fresh), pa.int32()), fresh)
+                first = np.arange(b.num_rows) == 0
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), texts, ask, pa.array(first & renew)], names=[*keep, "__text", "__ask", "__renew"])
+
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def _column(batch, name: str):
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _offsets(lengths):
+    import numpy as np
+
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _list(offsets, values):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str, out: list[T.StructField], finish, max_words: int) -> DataFrame:
+    """``keep`` and the columns ``out`` that ``finish`` makes of a slice: ids per distinct word, the
+    number of the distinct word at every place, and the offsets of the texts among the places."""
+    import pyarrow as pa
+
+    explicit = explicit_pattern(pattern)
+    got = dictionary(docs, ranks, pattern, text, max_words).toArrow()  # max_words rows at most
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as stream:
+        stream.write_table(got)
+    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    rows = _asked(docs, keep, shared, pattern, explicit, text).withColumn("__ids", fold_words(F.col("__ask"), ranks))
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, text: str = "text", **how) -> DataFrame:
+        split, kind = Splitter(pattern, explicit), pa.list_(pa.int32())
+        table = _opened(shared.value)
+        known, known_ids = (pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", kind)))
+        known_ids = known_ids.cast(kind)
+        words, ids = known.slice(0, 0), known_ids.slice(0, 0)
+
+        def learned(b):
+            """the batch cut before every row that brings words; those are taken in first"""
+            nonlocal words, ids
+            brings = _column(b, "__ask").value_lengths().to_numpy(zero_copy_only=False) > 0
+            renews = _column(b, "__renew").to_numpy(zero_copy_only=False).astype(bool)
+            cut = [0, *(i for i in np.flatnonzero(brings | renews).tolist() if i), b.num_rows]
+            for x, y in zip(cut, cut[1:]):
+                part = b.slice(x, y - x)
+                if renews[x]:
+                    words, ids = words.slice(0, 0), ids.slice(0, 0)
+                if brings[x]:
+                    words = pa.concat_arrays([words, _column(part, "__ask").flatten()])
+                    ids = pa.concat_arrays([ids, _column(part, "__ids").flatten().cast(kind)])
+                yield part
+
+        for batch in batches:
+            for part in learned(batch) if batch.num_rows else ():
+                for b in text_slices(part, "__text", SLICE):
+                    mine, code, off = split.words(_texts(b, "__text"))
+                    a, c = _found(mine, known), _found(mine, words)
+                    old = a >= 0
+                    if (c[~old] < 0).any():
+                        raise RuntimeError("a word came without its ids")
+                    place = np.where(old, np.cumsum(old) - 1, old.sum() + np.cumsum(~old) - 1)
+                    picked = pa.concat_arrays([known_ids.take(pa.array(a[old])), ids.take(pa.array(c[~old]))])
+                    yield pa.RecordBatch.from_arrays([*(_column(b, k) for k in keep), *finish(picked, place[code], off)], names=[*keep, *(f.name for f in out)])
+
+    return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + out))
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, text: str = "text", max_words: int = 1 << 19) -> DataFrame:
     """The columns ``keep`` of every row with ``ids`` (array of int)."""
-    ranks = read_ranks(rank_file)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
-    shared = _shared(docs.sparkSession, dictionary(docs, ranks, pattern, text, **how), ranks, pattern)
 
-    def run(batches):
+    def finish(ids, code, off):
         import pyarrow as pa
 
-        enc = _coder(shared)
-        for whole in batches:
-            for b in text_slices(whole, text, 4 << 20):
-                ids = [enc.encode(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+        every = ids.take(pa.array(code))
+        return [_list(_offsets(every.value_lengths().to_numpy(zero_copy_only=False))[off], every.flatten())]
+
+    return _encoded(docs, read_ranks(rank_file), pattern, keep, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], finish, max_words)
+
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        out[v] = k
+    return out
+
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+def _bytes_of(ids, pieces):
+    """Lists of ids to the concatenated bytes of their pieces."""
+    import pyarrow.compute as pc
+
+    got = pieces.take(ids.flatten())
+    if got.null_count:
+        raise ValueError("an id is outside the vocabulary")
+    return pc.binary_join(_list(_offsets(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)), got), b"")
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded`` (binary): the pieces of the ids, concatenated."""
-    pieces = {v: k for k, v in read_ranks(rank_file).items()}
+    """``encoded`` with ``decoded`` (binary): the pieces of the ids, concatenated; null ids: empty."""
+    vocabulary = _pieces(read_ranks(rank_file))
     keep = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches):
         import pyarrow as pa
 
+        pieces = pa.array(vocabulary, pa.binary())
         for b in batches:
-            got = [b"".join(map(pieces.__getitem__, x or ())) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(got, pa.binary())], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(_column(b, c) for c in keep), _bytes_of(_column(b, ids), pieces)], names=[*keep, "decoded"])
 
     return encoded.select(*keep).mapInArrow(run, T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text: str = "text", **how) -> DataFrame:
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text: str = "text", max_words: int = 1 << 19) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256: encode and decode within one task, so that
     the ids (several times the text) never leave it."""
     ranks = read_ranks(rank_file)
-    shared = _shared(docs.sparkSession, dictionary(docs, ranks, pattern, text, **how), ranks, pattern)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    vocabulary = _pieces(ranks)
 
-    def run(batches):
+    def finish(ids, code, off):
         from hashlib import sha256
 
+        import numpy as np
         import pyarrow as pa
-
-        coder = _coder(shared, Tripper)
-        for whole in batches:
-            for b in text_slices(whole, text, 4 << 20):
-                n, ids_sha, out_sha = [], [], []
-                for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                    count, spelt, decoded = coder.trip(t)
-                    n.append(count)
-                    ids_sha.append(sha256(spelt.encode()).hexdigest())
-                    out_sha.append(sha256(decoded).hexdigest())
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+        import pyarrow.compute as pc
+
+        lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
+        spelt = pc.binary_join(_list(_offsets(lengths), ids.flatten().cast(pa.string())), ",")
+        decoded = _bytes_of(ids, pa.array(vocabulary, pa.binary()))
+        at = pa.array(code)
+        joined = [pc.binary_join(_list(off, x.take(at)), glue) for x, glue in ((spelt, ","), (decoded, b""))]
+        digests = [pa.array([sha256(t.as_buffer()).hexdigest() for t in x]) for x in joined]
+        return [pa.array(np.diff(_offsets(lengths[code])[off]), pa.int64()), *digests]
+
+    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _encoded(docs, ranks, pattern, keep, text, out, finish, max_words)

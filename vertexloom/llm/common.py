@@ -14,10 +14,12 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (tests on one machine) an own folder is made."""
+    Only where the cluster names none and the master is this machine (tests) an own folder is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="vertexloom-shared-")
@@ -56,6 +58,13 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def shielded(docs: DataFrame, taken) -> tuple[DataFrame, list]:
+    """``docs`` with its columns named in ``taken`` under private names, and the columns that restore it."""
+    taken = {t.lower() for t in taken}
+    private = {c: f"__own_{c}" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(private), [F.col(f"`{private.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def text_slices(batch, column: str, chars: int):
     """Cut an Arrow batch so that one slice holds about ``chars`` bytes of text (one row at least)."""
     import numpy as np

@@ -3,13 +3,16 @@
 One scan measures each whole text.  A sketch is a histogram over integer buckets that keep the
 five leading bits of a value (relative error below 1/16, at most ~900 buckets per feature), so
 sketches merge by adding counts: a (lang, source) sketch is a groupBy, a language's sketch is the
-sum of its sources, and the corpus sketch the sum of all.  Thresholds are outer fences
-``q75 + 3 * max(q75 - q25, spread)`` (for the mean word length also below).  A source with fewer
-than ``min_docs`` documents takes its language's sketch, a rare language the corpus's.
+sum of its sources, and the corpus sketch the sum of all.  Documents that fail the base rules are
+not sketched.  A threshold lies ``m`` times the distance of a tail quantile ``p`` to the median beyond
+that quantile (for the mean word length on both sides); only where the two fall into one bucket the
+bucket's width stands for the distance.  No threshold holds a constant of the measure's own scale.  A
+source with fewer than ``min_docs`` sketched documents takes its language's, a rare language the corpus's.
 
 Defined cases: a null text has no words (all measures 0, base_failed, not kept); null lang or
 source form their own group; repeated rows each count and each come back; an empty table gives an
-empty result; input columns whose names clash with the measures are replaced by them.
+empty result; ``filter_by_rules`` returns input columns unchanged even where their names clash with the
+measures, the other functions replace such columns.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if, stored, text_slices
+from .common import broadcast_if, shielded, stored, text_slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: feature -> (least spread of the fence, whether values below a lower fence fail too)
-FEATURES = {"len100": (60, True), "sym1000": (40, False), "dup1000": (170, False), "rep1000": (100, False)}
+#: feature -> (p, the tail quantile in per cent; m, its multiple; whether values below a lower fence fail too)
+FEATURES = {"len100": (90, 2, True), "sym1000": (90, 2, False), "dup1000": (99, 1, False), "rep1000": (99, 1, False)}
 #: at most so many (lang, source) groups are joined by broadcast: some 100 bytes each
 BROADCAST_GROUPS = 50_000
 
@@ -112,9 +115,14 @@ def bucket(v: str) -> F.Column:
     return F.expr(f"shiftleft(shiftright({v}, {drop}), {drop})")
 
 
+def width(v: str) -> str:
+    """SQL for the width of the bucket at ``v``."""
+    return f"shiftleft(1L, greatest(0, length(bin({v})) - 5))"
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, feature, bucket, n: one mergeable sketch per group, of documents with a word."""
-    with_words = measured.where("n_words > 0").select("lang", "source", *(c.alias(k) for k, c in features().items()))
+    """lang, source, feature, bucket, n: one mergeable sketch per group, of documents that pass the base rules."""
+    with_words = measured.where(~base_failed()).select("lang", "source", *(c.alias(k) for k, c in features().items()))
     long = with_words.select("lang", "source", F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in FEATURES)), F.array(*FEATURES))).alias("feature", "v"))
     return long.groupBy("lang", "source", "feature", bucket("v").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -125,19 +133,20 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "feature")
     cum = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("docs"))
     q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * p, F.col("bucket")))
-    each = cum.groupBy(*keys, "feature").agg(F.max("docs").alias("docs"), q(25).alias("q25"), q(75).alias("q75"))
+    percents = sorted({x for p, _, _ in FEATURES.values() for x in (p, 100 - p, 50)})
+    each = cum.groupBy(*keys, "feature").agg(F.max("docs").alias("docs"), *(q(x).alias(f"q{x}") for x in percents))
     out = [F.max("docs").alias("docs")]
-    for f, (spread, both) in FEATURES.items():
+    for f, (p, m, both) in FEATURES.items():
         at = lambda x, f=f: F.max(F.when(F.col("feature") == f, F.expr(x)))
-        out.append(at(f"q75 + 3 * greatest(q75 - q25, {spread})").alias(f"hi_{f}"))
+        out.append(at(f"q{p} + {m} * greatest(q{p} - q50, {width(f'q{p}')})").alias(f"hi_{f}"))
         if both:
-            out.append(at(f"q25 - 3 * greatest(q75 - q25, {spread})").alias(f"lo_{f}"))
+            out.append(at(f"q{100 - p} - {m} * greatest(q50 - q{100 - p}, {width(f'q{100 - p}')})").alias(f"lo_{f}"))
     return each.groupBy(*keys).agg(*out)
 
 
 def thresholds(sketch: DataFrame, min_docs: int = 50) -> DataFrame:
     """One row per (lang, source) of the sketch: its own fences, its language's, or the corpus's."""
-    names = [f"{p}_{f}" for f, (_, both) in FEATURES.items() for p in (("hi", "lo") if both else ("hi",))]
+    names = [f"{p}_{f}" for f, (_, _, both) in FEATURES.items() for p in (("hi", "lo") if both else ("hi",))]
     own, lang, corpus = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch.withColumn("one", F.lit(1)), ["one"])
     rename = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in d.columns))
     joined = own.join(F.broadcast(rename(corpus, "c"))).join(rename(lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang")), "left")
@@ -154,7 +163,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     lim = broadcast_if(limits, BROADCAST_GROUPS)
     joined = measured.join(lim, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     over = F.lit(False)
-    for k, (_, both) in FEATURES.items():
+    for k, (_, _, both) in FEATURES.items():
         over = over | F.coalesce(f[k] > F.col(f"hi_{k}"), F.lit(False))
         if both:
             over = over | F.coalesce(f[k] < F.col(f"lo_{k}"), F.lit(False))
@@ -173,4 +182,5 @@ def filter_by_rules(docs: DataFrame, min_docs: int = 50) -> DataFrame:
     Texts never move: a first scan gives the sketches, a second measures again beside the text."""
     measured = stored(measure(docs, keep=("lang", "source")), "measures")
     limits = stored(thresholds(sketches(measured), min_docs), "limits")
-    return judge(measure(docs), limits).where("kept").select(*docs.columns)
+    safe, back = shielded(docs, [*MEASURES, "base_failed", "kept", *limits.columns])
+    return judge(measure(safe), limits).where("kept").select(*back)

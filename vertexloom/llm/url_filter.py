@@ -88,11 +88,32 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return made.where("dst <> '' and dst <> src")
 
 
+def plain_form(url: F.Column) -> F.Column:
+    """The canonical spelling of a web url: https, host in lower case without default port, no closing
+    slashes, no ``utm_`` parameters, no fragment; null for other schemes."""
+    whole = without_fragment(url)
+    rest = F.substring(whole, F.instr(whole, "://") + F.lit(3), F.length(whole))
+    host = F.regexp_replace(F.translate(F.regexp_extract(rest, r"^[^/?]*", 0), UPPER, LOWER), ":(80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), "/+$", "")
+    query = F.array_join(F.filter(F.split(F.regexp_extract(rest, r"(?s)^[^?]*\?(.*)", 1), "&"), lambda x: (x != "") & ~x.startswith("utm_")), "&")
+    return F.when(whole.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://"), F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
+
+
+def spelling_edges(pages: DataFrame) -> DataFrame:
+    """src, dst: a page's url and its canonical spelling, where they differ.
+
+    A page is implicitly canonical to that spelling, so that its variants (http and https, with and
+    without closing slash or tracking parameters) form one class."""
+    made = pages.select(without_fragment(F.col("url")).alias("src"), plain_form(F.col("url")).alias("dst"))
+    return made.where("src is not null and dst is not null and src <> dst")
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page columns, host, path, rule and rule_verdict (null where none fits).
+    """page columns, host, path, rule and rule_verdict (null where none fits); page columns of those names are replaced.
 
     Every page meets only rules whose host is a suffix of its own; rules beyond the broadcast
     bound meet the pages in a salted join, so that a hot suffix spreads over SALTS tasks."""
+    pages = pages.drop("host", "path", "rule", "rule_verdict")
     host, path = url_parts(F.col("url"))
     named = pages.withColumns({"host": host, "path": path, "__key": F.monotonically_increasing_id()})
     r = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict").where("r_host is not null and r_host <> ''")
@@ -114,7 +135,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def url_filter(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict and component (null outside any link)."""
-    edges = link_edges(pages) if edges is None else edges.select(*(without_fragment(F.col(c)).alias(c) for c in ("src", "dst")))
+    edges = link_edges(pages).unionAll(spelling_edges(pages)) if edges is None else edges.select(*(without_fragment(F.col(c)).alias(c) for c in ("src", "dst")))
     comp = stored(components(edges), "components")
     judged = match_rules(pages.select("page_id", "url"), rules)
     if comp.isEmpty():

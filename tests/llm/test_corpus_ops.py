@@ -62,6 +62,26 @@ def test_rules_adapt_and_keep(spark):
     assert quality_rules.filter_by_rules(table(spark, [])).count() == 0
 
 
+def test_fences_follow_the_source(spark):
+    """One text, two verdicts: a source whose symbols vary keeps it, a source without symbols rejects it."""
+    plain = [prose(i) for i in range(200)]
+    tables = ["| ".join(t.split(" ")[: 10 + i % 80]) + " " + t for i, t in enumerate(plain)]
+    text = "| ".join(prose(900).split(" ")[:20]) + " " + prose(901)
+    rows = [(i, t, "en", "books", 0) for i, t in enumerate(plain)] + [(300 + i, t, "en", "tables", 0) for i, t in enumerate(tables)] + [(1000, text, "en", "books", 0), (1001, text, "en", "tables", 0)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[1000] and got[1001]
+    assert sum(got[i] for i in range(200)) >= 190 and sum(got[300 + i] for i in range(200)) >= 190
+
+
+def test_filters_return_clashing_columns(spark):
+    docs = table(spark, [prose(i) for i in range(70)]).withColumn("n_words", F.lit("a")).withColumn("kept", F.lit(-1)).withColumn("score", F.lit("s")).withColumn("items", F.col("doc_id")).withColumn("hi_len100", F.lit(0))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(70)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "none of these words is found")], "item_id long, text string")
+    want = sorted(map(tuple, docs.collect()))
+    for got in (quality_rules.filter_by_rules(docs), quality_classifier.filter_by_quality(docs, labels, steps=50), decontaminate.decontaminate(docs, bench)):
+        assert got.columns == docs.columns and got.count() > 0 and set(map(tuple, got.collect())) <= set(want)
+
+
 def test_sketches_merge(spark):
     m = quality_rules.measure(table(spark, [prose(i, 30 + i) for i in range(60)]))
     one = quality_rules.sketches(m).groupBy("feature", "bucket").agg(F.sum("n").alias("n"))

@@ -39,8 +39,9 @@ from .common import stored, text_slices
 
 MAPS = 4096
 LONG = 64
-#: bytes of text whose words are listed at a time
-SLICE = 8 << 20
+#: bytes of text whose words are listed at a time, for the dictionary and for encoding
+COUNT_SLICE = 8 << 20
+SLICE = 2 << 20
 #: words asked for in a task after which it forgets them and asks anew
 ASKED = 1 << 20
 
@@ -282,13 +283,13 @@ def count_slices(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
 
         split = Splitter(pattern, explicit)
         for whole in batches:
-            for b in text_slices(whole, text, SLICE):
+            for b in text_slices(whole, text, COUNT_SLICE):
                 yield pa.RecordBatch.from_arrays([split.distinct(_texts(b, text))], names=["word"])
 
     return docs.select(text).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", max_words: int = 1 << 19) -> DataFrame:
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", max_words: int = 1 << 20) -> DataFrame:
     """word, ids of the words found in most slices, in two slices at least: ``max_words`` at most.
 
     Kept are the words of 2**k slices or more, for the least k that fits.  It only saves folding a word
@@ -358,7 +359,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
     import pyarrow as pa
 
     explicit = explicit_pattern(pattern)
-    got = dictionary(docs, ranks, pattern, text, max_words).toArrow()  # max_words rows at most
+    got = dictionary(docs, ranks, pattern, text, max_words).toArrow().combine_chunks()  # max_words rows at most
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as stream:
         stream.write_table(got)
@@ -405,7 +406,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
     return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + out))
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, text: str = "text", max_words: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, text: str = "text", max_words: int = 1 << 20) -> DataFrame:
     """The columns ``keep`` of every row with ``ids`` (array of int)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
 
@@ -450,7 +451,7 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
     return encoded.select(*keep).mapInArrow(run, T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())]))
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text: str = "text", max_words: int = 1 << 19) -> DataFrame:
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, keep: list[str], text: str = "text", max_words: int = 1 << 20) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256: encode and decode within one task, so that
     the ids (several times the text) never leave it."""
     ranks = read_ranks(rank_file)

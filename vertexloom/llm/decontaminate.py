@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import shielded, text_slices
 
 WIDTH = 8
 RESULT = T.StructType([
@@ -189,4 +189,5 @@ def contaminated(min_items: int = 2):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **how) -> DataFrame:
     """The rows of ``docs`` that hold windows of fewer than ``min_items`` items, with its columns."""
-    return find_matches(docs, benchmark, **how).where(~contaminated(min_items)).select(*docs.columns)
+    safe, back = shielded(docs, [f.name for f in RESULT])
+    return find_matches(safe, benchmark, **how).where(~contaminated(min_items)).select(*back)

@@ -219,7 +219,9 @@ def train(docs: DataFrame | None = None, seed: int = 11, copies: int = 60, max_d
         lines = F.slice(F.filter(F.split("text", "\n"), lambda x: (F.length(x) > 0) & (F.length(x) < 400)), 1, 4)
         # ids are chosen first, so that no task sends texts that lose
         chosen = stored(docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs), "sample")
-        for r in docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", lines.alias("l")).orderBy("doc_id", "l").collect():
+        # one row of each id, whatever the number of its rows: the one of the least lines
+        few = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min(lines).alias("l"))
+        for r in few.orderBy("doc_id").collect():
             negatives.extend(r.l)
     known = [[_pairs(words_of(t)) for t in ts] for ts in TEMPLATES.values()]
     clean = [n for n in negatives if not any(len(t & _pairs(words_of(n))) >= 0.5 * len(t) for ts in known for t in ts)]

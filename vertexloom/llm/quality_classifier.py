@@ -9,8 +9,9 @@ The fit takes bounded samples (``max_positive``, ``max_unlabelled`` rows, the on
 hash of doc_id); scoring covers every whole text.  A score depends on the text alone.
 
 Defined cases: a null or empty text gets the score of the all-zero measures; rows with a null
-doc_id are scored and are never held out; repeated rows come back repeatedly with equal scores; with
-no positive rows every score is 0.5; extra columns are ignored.
+doc_id are scored and are never held out; repeated rows come back repeatedly with equal scores; an id
+of several rows counts once in a sample, with the least vector of measures; with no positive rows every
+score is 0.5; extra columns are ignored, and returned unchanged by ``filter_by_quality``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import shielded, stored, text_slices
 
 DIM = 24
 _symbol = re.compile(r"[#*$%&|<>]")
@@ -143,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 8000, max_unlabe
     pos = train(labels.where("quality = 1")).select("doc_id").distinct().orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(1).alias("kind"))
     unl = train(docs).select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("kind"))
     chosen = stored(pos.unionAll(unl), "sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_positive + max_unlabelled rows at most
-    got = _featured(texts, ["kind", "doc_id"]).orderBy("kind", "doc_id").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_positive + max_unlabelled ids at most
+    # one row of each id, whatever the number of its rows: the one of the least measures
+    got = _featured(texts, ["kind", "doc_id"]).groupBy("kind", "doc_id").agg(F.min("x").alias("x")).orderBy("kind", "doc_id").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), DIM)
     p, u = x[got["kind"].to_numpy() == 1], x[got["kind"].to_numpy() == 0]
     if len(p) < 2 or len(u) < 2:
@@ -189,4 +191,5 @@ def score(docs: DataFrame, model: PUModel | None, keep: list[str]) -> DataFrame:
 
 def filter_by_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more, with the columns of ``docs``."""
-    return score(docs, fit(docs, labels, **how), docs.columns).where("score >= 0.5").select(*docs.columns)
+    safe, back = shielded(docs, ["score"])
+    return score(safe, fit(docs, labels, **how), safe.columns).where("score >= 0.5").select(*back)

@@ -166,11 +166,53 @@ def test_join_odd_rows(spark, odd):
     assert by[8].class_id == 7 and by[8].n_links == 0 and by[2].class_id == 2
     assert sorted([r.class_id for r in got if r.doc_id is None], key=str) == [0, None]  # a null text copies document 0's
     kept = jaccard_join.deduplicate(odd).collect()
-    # null and empty texts are one text: document 0 stands for both
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 2, 3, 4, 5, 6, 7, 9, 10] and sum(r.doc_id is None for r in kept) == 2
+    # null and empty texts are one text: document 0 stands for both, and for the one without an id
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 2, 3, 4, 5, 6, 7, 9, 10] and sum(r.doc_id is None for r in kept) == 1
     assert jaccard_join.deduplicate(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 10])
+def test_one_id_with_two_texts(spark, bits, monkeypatch):
+    """No link and no text is lost; a filter too small for its rows changes nothing."""
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits)
+    w, v = prose(1, 150), prose(2, 150)
+    fewer = lambda t: " ".join(t.split()[1:])
+    rows = [(1, w), (1, v), (2, fewer(w)), (3, fewer(v)), (1, w), (9, w), (None, v), (None, prose(3)), (None, prose(3))] + [(100 + i, prose(100 + i)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("drop", F.lit(1)).withColumn("k", F.lit(2))
+    got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.similarity_join(docs).collect() if r.doc_id is None or r.doc_id < 100]
+    assert sorted(got, key=str) == sorted([(1, 1, 1)] * 3 + [(2, 1, 1), (3, 1, 1), (9, 1, 1), (None, 1, 1)] + [(None, None, 0)] * 2, key=str)
+    kept = jaccard_join.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect() if r.doc_id is None or r.doc_id < 100], key=str) == sorted([(1, w), (1, v), (None, prose(3))], key=str)
+    assert kept.count() == 303
+
+
+def test_measured_recall(spark):
+    """Links of every text whose id is divisible by 20, against all texts by brute force."""
+    texts = [_near(s, e) for s in range(150) for e in (0, 1, 2, 3, 4, 5, 6, 8)] + [prose(5000 + i, 20 + i) for i in range(300)]
+    sets = [frozenset(zip(*(t.lower().split()[i:] for i in range(5)))) for t in texts]
+    want = {i: sum(texts[i] != texts[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(len(texts))) for i in range(0, len(texts), 20)}
+    got = {r.doc_id: r.n_links for r in jaccard_join.similarity_join(table(spark, texts)).collect()}
+    assert sum(want.values()) > 50 and all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values())
+
+
+def test_size_classes_lose_no_pair(spark):
+    sizes = [1, 2, 3, 4, 5, 79, 80, 99, 100, 101, 125, 1000, 1250, 1251] * 30
+    sized = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "doc long, comp long, size long")
+    met: dict = {}
+    for r in jaccard_join._tiles(sized, 0.8, 8).collect():
+        met.setdefault(r.key, []).append((r.doc, r.side, r.diagonal))
+    pairs = {}
+    for rows in met.values():
+        for a, sa, d in rows:
+            for b, sb, _ in rows:
+                if (a < b) if d else (sa < sb):
+                    pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0) + 1
+    assert all(n == 1 for n in pairs.values())
+    assert all((a, b) in pairs for a in range(len(sizes)) for b in range(a + 1, len(sizes)) if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]))
+
+
 def test_runs_reach_recall():
     n = jaccard_join.runs_for(0.999, 3, 64)
     assert 1 - (1 - jaccard_join.survival(3, 64)) ** n >= 0.999 > 1 - (1 - jaccard_join.survival(3, 64)) ** (n - 1)

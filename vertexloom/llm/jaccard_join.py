@@ -15,29 +15,39 @@ sets is ``threshold`` or more.  Exact copies are one text first.  Then:
    do better.
 4. *Verify*: pairs alike in sketch join texts into candidate groups (distributed connected
    components, one star per bucket, never all pairs).  Inside a candidate group all pairs are
-   compared on whole shingle sets, in tiles of ``tile`` by ``tile`` texts, so that no task holds
-   a large group; only a text's number of links and its least linked partner leave a tile.
+   compared on whole shingle sets whose sizes allow a link at all: a group's texts are ordered into
+   size classes, of which only equal and neighbouring ones can link, and the classes dealt to blocks of
+   about ``tile`` texts and TILE_BYTES.  A task holds two blocks; only a text's number of links and its
+   least linked partner leave it.
+
+Texts are known by their MD5 and get a number, so that rows of one id with different texts stay apart.
+No step moves texts: the sets of group members are made beside the scan, for the rows that a Bloom filter
+of the members lets through (FILTER_BITS at most; a fuller filter lets more rows through, which the exact
+join after it drops).
 
 Words are runs of non-whitespace, lower-cased.  Defined cases: a text of fewer than ``width`` words
-is one shingle of all its words; a null text or one without words links to nothing but its exact
-copies; repeated rows and copies share a class; a class of rows that all lack an id is null; an
-empty table gives an empty result; extra columns are ignored.
+is one shingle of all its words; a null text (the empty text) or one without words links to nothing but
+its exact copies; repeated rows and copies share a class; an id of several texts has one row for each, with
+the class of its text; class_id is the least id of a class, so two classes that share an id share the number;
+a class of rows that all lack an id is null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, components, stored, text_slices
+from .common import components, stored, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SEED = 20_241
-#: ids (with two numbers at most) are broadcast up to so many rows, some 40 MB; beyond that texts are shuffled
-BROADCAST_IDS = 1_000_000
+#: bytes of shingle sets in a block of texts
+TILE_BYTES = 16 << 20
+#: 32 MB
+FILTER_BITS = 1 << 28
 
 
 def survival(levels: int, tokens: int) -> float:
@@ -129,6 +139,63 @@ def _child(path, coordinate, value):
     return _mix(_mix(path + np.uint64(0x632BE59BD9B4E019) * (coordinate.astype(np.uint64) + np.uint64(1))) ^ value.astype(np.uint64))
 
 
+def text_key(text: str = "text") -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _hashes(key: str = "key", id_: str = "doc_id") -> list[F.Column]:
+    """Two hashes of a row's text and id."""
+    return [F.xxhash64(key, id_).alias("h1"), F.xxhash64(F.lit(7), id_, key).alias("h2")]
+
+
+class Filter:
+    """A Bloom filter over pairs of hashes: four positions, of 2**log bits."""
+
+    def __init__(self, words: bytes, log: int):
+        self.words, self.log = words, log
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> "Filter":
+        """Of the columns h1 and h2; combined before the shuffle, FILTER_BITS / 64 rows at most reach the driver."""
+        import numpy as np
+
+        log = 10
+        rows = hashes.count()
+        while 1 << log < min(FILTER_BITS, 16 * rows):
+            log += 1
+        mask = F.lit((1 << log) - 1)
+        places = F.array(*(F.shiftrightunsigned(h, n).bitwiseAND(mask) for h in ("h1", "h2") for n in (0, 32)))
+        at = hashes.select(F.explode(places).alias("p"))
+        got = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
+        words = np.zeros(1 << (log - 6), np.int64)
+        words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+        return cls(words.tobytes(), log)
+
+    def holds(self, h1, h2):
+        import numpy as np
+
+        words, out = np.frombuffer(self.words, np.uint64), np.ones(len(h1), bool)
+        for h in (h1, h2):
+            for n in (0, 32):
+                p = (h.astype(np.int64).view(np.uint64) >> np.uint64(n)) & np.uint64((1 << self.log) - 1)
+                out &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def _may_hold(filter_: Filter, spark):
+    """A column function of (h1, h2): whether the filter may hold the row."""
+    import pandas as pd
+
+    shared = spark.sparkContext.broadcast((filter_.words, filter_.log))
+    holds = Filter.holds
+
+    def test(h1, h2):
+        return pd.Series(holds(Filter(*shared.value), h1.to_numpy(), h2.to_numpy()))
+
+    test.__annotations__ = dict.fromkeys(("h1", "h2", "return"), pd.Series)
+    return F.pandas_udf(test, "boolean")
+
+
 def records(docs: DataFrame, runs: int, tokens: int, threshold: float, width: int) -> DataFrame:
     """doc_id, key (128-bit hash of the text), size, paths (first-level nodes of all runs), sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -136,7 +203,6 @@ def records(docs: DataFrame, runs: int, tokens: int, threshold: float, width: in
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         shingle = Shingler(width)
         roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -150,13 +216,13 @@ def records(docs: DataFrame, runs: int, tokens: int, threshold: float, width: in
                 nodes = _child(roots[run_][:, None], coord[:, None], sketch[coord]).T.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(b.schema.get_field_index("doc_id")), pa.array([xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary()), pa.array(size),
+                        b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("key")), pa.array(size),
                         pa.array([p if n else None for p, n in zip(nodes, size)], pa.list_(pa.int64())), pa.array([sketch[:, i].tobytes() if n else None for i, n in enumerate(size)], pa.binary()),
                     ],
                     names=["doc_id", "key", "size", "paths", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, size long, paths array<long>, sketch binary")
+    return docs.select("doc_id", "text", text_key().alias("key")).mapInArrow(run, f"doc_id {kind}, key binary, size long, paths array<long>, sketch binary")
 
 
 def _split(nodes: DataFrame, tokens: int, threshold: float) -> DataFrame:
@@ -393,19 +459,75 @@ def _verify(tiles: DataFrame, threshold: float, tile: int) -> DataFrame:
     return tiles.repartition("key").sortWithinPartitions("key", "side", "doc").mapInArrow(run, f"doc {kind}, links long, root {kind}")
 
 
-def _shingles(docs: DataFrame, width: int) -> DataFrame:
-    kind = docs.schema["doc"].dataType.simpleString()
+def _shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """doc (number), shingles of the texts of ``members`` (key, rep_id, doc): one row of ``docs`` each."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = members.select(*_hashes("key", "rep_id"))
+    filter_ = Filter.of(pairs)
+    shared = docs.sparkSession.sparkContext.broadcast((filter_.words, filter_.log))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        shingle = Shingler(width)
+        shingle, may = Shingler(width), Filter(*shared.value)
         for whole in batches:
-            for b in text_slices(whole, "text", 4 << 20):
+            hit = may.holds(*(whole.column(whole.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h1", "h2")))
+            for b in text_slices(whole.take(pa.array(np.flatnonzero(hit))), "text", 4 << 20):
                 got = [shingle(t).tobytes() for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc", "comp", "n")), pa.array(got, pa.binary())], names=["doc", "comp", "n", "shingles"])
-
-    return docs.select("doc", "comp", "n", "text").mapInArrow(run, f"doc {kind}, comp {kind}, n long, shingles binary")
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "key")), pa.array(got, pa.binary())], names=["doc_id", "key", "shingles"])
+
+    rows = docs.select("doc_id", "text", text_key().alias("key")).select("doc_id", "text", "key", *_hashes())
+    made = rows.mapInArrow(run, f"doc_id {kind}, key binary, shingles binary")
+    # of rows repeated with id and text one is enough
+    found = made.join(members.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    return found.select("doc", "shingles").dropDuplicates(["doc"])
+
+
+def _tiles(sized: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """doc and the tiles it lies in: key, diagonal, side.  ``sized``: doc, comp, size.
+
+    Sets of which one is smaller than ``threshold`` times the other cannot link, so a text meets its own
+    size class and the next ones only."""
+    step = math.log(1 / threshold) * (1 + 1e-6) if threshold < 1 else 1e-6
+    of = sized.withColumn("s", F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(step)))
+    sizes = of.groupBy("comp", "s").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
+    sizes = sizes.withColumn("b", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int"))
+    w = Window.partitionBy("comp").orderBy("s")
+    beside = lambda f, d: F.coalesce(F.when(f("s").over(w) == F.col("s") + d, f("b").over(w)), F.lit(0))
+    sizes = stored(sizes.select(F.col("comp").alias("c"), F.col("s").alias("z"), "b", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down")), "size-classes")
+    mine = of.join(sizes, (F.col("comp") == F.col("c")) & (F.col("s") == F.col("z"))).withColumn("h", F.pmod(F.xxhash64("doc"), "b").cast("int"))
+    key = lambda *x: F.concat_ws(":", *(F.col(c) if isinstance(c, str) else c for c in x))
+    upto = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - 1)), lambda j: F.col(n) > 0), f)
+    at = lambda k, diagonal, side: F.struct(k.alias("key"), diagonal.alias("diagonal"), side.cast("int").alias("side"))
+    no = F.lit(False)
+    same = upto("b", lambda j: at(key("comp", "s", F.least("h", j), "s", F.greatest("h", j)), F.col("h") == j, F.col("h") > j))
+    above = upto("up", lambda j: at(key("comp", "s", "h", F.col("s") + 1, j), no, F.lit(0)))
+    below = upto("down", lambda j: at(key("comp", F.col("s") - 1, j, "s", "h"), no, F.lit(1)))
+    return mine.select("doc", F.explode(F.concat(same, above, below)).alias("t")).select("doc", "t.key", "t.diagonal", "t.side")
+
+
+def _classes(docs: DataFrame, threshold: float, width: int, recall: float, tokens: int, levels: int, depth: int, bucket: int, tile: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, doc, rep_id) of every row, (key, rep_id, doc) of every text, and (doc, class, n_links) of those that link.
+
+    doc: the number of a text; class: the least number among the texts linked to it."""
+    rec = stored(records(docs, runs_for(recall, levels, tokens), tokens, threshold, width), "sketches")
+    reps = rec.groupBy("key").agg(F.min("doc_id").alias("rep_id"))
+    reps = stored(reps.withColumn("doc", F.monotonically_increasing_id()), "reps")  # stored: numbers stay, and AQE splits a hot text
+    named = stored(rec.select("doc_id", "key").join(reps, "key"), "named")
+    right = reps.withColumnRenamed("key", "k")
+    texts = rec.join(right, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("doc", "size", "paths", "sketch").dropDuplicates(["doc"])
+    texts = stored(texts, "texts")
+    edges = candidate_edges(texts, tokens, threshold, bucket, depth, threshold - slack)
+    comp = stored(components(edges).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "groups")
+    sized = stored(comp.join(texts.select("doc", "size"), "doc"), "sized")
+    members = stored(sized.select("doc").join(reps, "doc"), "members")
+    sets = stored(_shingles(docs, members, width), "sets")
+    tiles = _tiles(sized, threshold, tile).join(sets, "doc").select("key", "diagonal", "side", "doc", "shingles")
+    linked = stored(_verify(tiles, threshold, tile), "links")
+    counts = linked.groupBy("doc").agg(F.sum("links").alias("n_links"))
+    classes = components(linked.select(F.col("doc").alias("src"), F.col("root").alias("dst"))).select(F.col("node").alias("doc"), F.col("component").alias("class"))
+    return named, reps, stored(counts.join(classes, "doc"), "classes")
 
 
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = 0.999, tokens: int = 64, levels: int = 3, depth: int = 8, bucket: int = 2048, tile: int = 512, slack: float = 0.22) -> DataFrame:
@@ -413,36 +535,29 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
     rep_id: the least id of the rows with the same text; class_id: the least rep_id of the texts
     linked to it, directly or over others; n_links: how many different texts it links to."""
-    rec = stored(records(docs, runs_for(recall, levels, tokens), tokens, threshold, width), "sketches")
-    reps = stored(rec.groupBy("key").agg(F.min("doc_id").alias("rep_id")), "reps")  # stored: AQE splits a hot text
-    named = stored(rec.select("doc_id", "key").join(reps, "key").select("doc_id", "rep_id"), "named")
-    texts = rec.join(reps.where("rep_id is not null"), (rec["doc_id"] == reps["rep_id"]) & (rec["key"] == reps["key"])).select(F.col("rep_id").alias("doc"), "size", "paths", "sketch").dropDuplicates(["doc"])
-    texts = stored(texts, "texts")
-    edges = candidate_edges(texts, tokens, threshold, bucket, depth, threshold - slack)
-    comp = stored(components(edges).select(F.col("node").alias("doc"), F.col("component").alias("comp")), "groups")
-    sizes = stored(comp.groupBy("comp").agg(F.count("*").alias("n")), "group-sizes")
-    sized = stored(comp.join(sizes, "comp"), "sized")
-    # texts of group members only: they are picked beside the scan up to BROADCAST_IDS members, else by a shuffle
-    member = docs.select(F.col("doc_id").alias("doc"), "text").join(broadcast_if(sized, BROADCAST_IDS), "doc").dropDuplicates(["doc"])
-    sets = stored(_shingles(member, width), "sets")
-    blocks = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    laid = sets.select("doc", "comp", "shingles", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    tiles = laid.select(F.xxhash64("comp", F.least("i", "j"), F.greatest("i", "j")).alias("key"), (F.col("i") == F.col("j")).alias("diagonal"), (F.col("i") > F.col("j")).cast("int").alias("side"), "doc", "shingles")
-    linked = stored(_verify(tiles, threshold, tile), "links")
-    counts = linked.groupBy("doc").agg(F.sum("links").alias("n_links"))
-    classes = components(linked.select(F.col("doc").alias("src"), F.col("root").alias("dst"))).select(F.col("node").alias("doc"), F.col("component").alias("class_id"))
-    out = stored(counts.join(classes, "doc", "left"), "classes").withColumnRenamed("doc", "rep_id")
-    return named.join(out, "rep_id", "left").select("doc_id", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
-
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """One row of each class: the one whose doc_id is the class's; rows without an id stay."""
-    joined = stored(similarity_join(docs, **how), "joined")
-    drop = joined.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(broadcast_if(stored(drop, "drop"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-    again = stored(joined.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
+    named, reps, found = _classes(docs, threshold, width, recall, tokens, levels, depth, bucket, tile, slack)
+    least = stored(found.join(reps, "doc").groupBy("class").agg(F.min("rep_id").alias("class_id")), "class-ids")
+    of = stored(found.join(least, "class").select("doc", "class_id", "n_links", F.lit(True).alias("linked")), "linked")
+    got = named.join(of, "doc", "left")
+    return got.select("doc_id", "rep_id", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, recall: float = 0.999, tokens: int = 64, levels: int = 3, depth: int = 8, bucket: int = 2048, tile: int = 512, slack: float = 0.22) -> DataFrame:
+    """One row of each class: of the text of the least rep_id (then of the least MD5; texts without an
+    id last), the row of that id; of rows equal in id and text one stays."""
+    named, reps, found = _classes(docs, threshold, width, recall, tokens, levels, depth, bucket, tile, slack)
+    rows = stored(named.groupBy("key", "doc_id", "rep_id", "doc").agg(F.count("*").alias("n")), "rows")
+    best = found.join(reps, "doc").groupBy("class").agg(F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "key", "doc")).alias("b"))
+    lose = stored(found.join(best, "class").where("doc <> b.doc").select("doc"), "losers").withColumn("lost", F.lit(True))
+    fate = rows.join(lose, "doc", "left").select(F.col("key").alias("__k"), F.col("doc_id").alias("__id"), (F.col("lost").isNotNull() | ~F.col("doc_id").eqNullSafe(F.col("rep_id"))).alias("__drop"), (F.col("n") > 1).alias("__again"))
+    fate = stored(fate.where("__drop or __again"), "fate")
+    # only rows that the filter lets through meet the exact table; the others stay where they are
+    may = _may_hold(Filter.of(fate.select(*_hashes("__k", "__id"))), docs.sparkSession)
+    private = docs.select("*", text_key().alias("__key"))
+    private = private.select("*", may(*_hashes("__key", "doc_id")).alias("__may"))
+    met = private.where("__may").join(fate, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    left = private.where("not __may").select(*own).unionAll(met.where("__drop is null").select(*own))
+    if fate.where("__again and not __drop").isEmpty():
         return left
-    # repeated rows of one id: only those are brought together
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return left.unionAll(met.where("__again and not __drop").dropDuplicates(["__key", "doc_id"]).select(*own))

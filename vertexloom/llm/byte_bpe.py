@@ -332,7 +332,6 @@ def _asked(docs: DataFrame, keep: list[str], shared, pattern: str, explicit: str
                 asked = fresh if renew else pa.concat_arrays([asked, fresh])
                 ask = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(b.num_rows + 1), 1) * len(fresh), pa.int32()), fresh)
                 first = np.arange(b.num_rows) == 0
-                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), texts, ask, pa.array(first & renew)], names=[*keep, "__text", "__ask", "__renew"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
@@ -403,7 +402,6 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
                         raise RuntimeError("a word came without its ids")
                     place = np.where(old, np.cumsum(old) - 1, old.sum() + np.cumsum(~old) - 1)
                     picked = pa.concat_arrays([known_ids.take(pa.array(a[old])), ids.take(pa.array(c[~old]))])
-                    pa.default_memory_pool().release_unused()
                     yield pa.RecordBatch.from_arrays([*(_column(b, k) for k in keep), *finish(picked, place[code], off)], names=[*keep, *(f.name for f in out)])
 
     return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + out))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -65,6 +66,23 @@ def shielded(docs: DataFrame, taken) -> tuple[DataFrame, list]:
     return docs.withColumnsRenamed(private), [F.col(f"`{private.get(c, c)}`").alias(c) for c in docs.columns]
 
 
+@functools.lru_cache(1)
+def _libc():
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    return getattr(libc, "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return free memory of a Python worker to the system: workers are kept between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc()(0)
+
+
 def text_slices(batch, column: str, chars: int):
     """Cut an Arrow batch so that one slice holds about ``chars`` bytes of text (one row at least)."""
     import numpy as np
@@ -78,6 +96,7 @@ def text_slices(batch, column: str, chars: int):
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+        give_back()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

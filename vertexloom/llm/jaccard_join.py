@@ -39,13 +39,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_slices
+from .common import components, give_back, stored, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SEED = 20_241
 #: bytes of shingle sets in a block of texts
-TILE_BYTES = 16 << 20
+TILE_BYTES = 4 << 20
 #: 32 MB
 FILTER_BITS = 1 << 28
 
@@ -312,8 +312,11 @@ def _compare(buckets: DataFrame, tokens: int, alike: float) -> DataFrame:
             held = t.slice(done)
             if done:
                 yield edges(t.slice(0, done))
+            give_back()
         if held is not None and held.num_rows:
             yield edges(held)
+        held = None
+        give_back()
 
     by_path = buckets.select("path", "doc", "sketch").repartition("path").sortWithinPartitions("path", "doc")
     return by_path.mapInArrow(run, f"src {kind}, dst {kind}")
@@ -447,14 +450,18 @@ def _verify(tiles: DataFrame, threshold: float, tile: int) -> DataFrame:
         key, diagonal, rows = None, None, ([], [], [])
         for b in batches:
             pa_type = b.column(b.schema.get_field_index("doc")).type
-            for k, g, s, d, x in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "diagonal", "side", "doc", "shingles"))):
+            sets = b.column(b.schema.get_field_index("shingles"))  # copied row by row, for one tile at a time
+            for i, (k, g, s, d) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "diagonal", "side", "doc")))):
                 if k != key and rows[0]:
                     yield solve(rows, diagonal)
                     rows = ([], [], [])
                 key, diagonal = k, g
-                rows[0].append(d), rows[1].append(s), rows[2].append(x)
+                rows[0].append(d), rows[1].append(s), rows[2].append(sets[i].as_py())
+            give_back()
         if rows[0]:
             yield solve(rows, diagonal)
+        rows = ([], [], [])
+        give_back()
 
     return tiles.repartition("key").sortWithinPartitions("key", "side", "doc").mapInArrow(run, f"doc {kind}, links long, root {kind}")
 

@@ -148,7 +148,11 @@ def fold_words(words: F.Column, ranks: dict[bytes, int]) -> F.Column:
             start = _let(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), lambda p: _let(F.transform(F.slice(p, F.lit(2), F.size(p)), lambda y, i: rank(F.concat(F.get(p, i), y))), lambda r: state(p, r)))
             steps = F.sequence(F.lit(2), F.greatest(F.lit(2), size))
             run = lambda merge: F.aggregate(steps, start, lambda a, _: F.when(a["m"].isNull(), a).otherwise(merge(a["p"], a["r"], a["m"])), lambda a: F.transform(a["p"], rank))
-            return _let(rank(h), lambda w: F.when(w.isNotNull(), F.array(w)).when(size == 0, F.array().cast("array<int>")).when(size <= LONG, run(one)).otherwise(run(every)))
+            # of a long word: root(n) rounds of root(n) steps, as idle steps cost as much as the word is long
+            some = F.sequence(F.lit(0), F.ceil(F.sqrt(size)).cast("int"))
+            further = lambda a: F.aggregate(some, a, lambda b, _: F.when(b["m"].isNull(), b).otherwise(every(b["p"], b["r"], b["m"])))
+            run_long = lambda: F.aggregate(some, start, lambda a, _: F.when(a["m"].isNull(), a).otherwise(further(a)), lambda a: F.transform(a["p"], rank))
+            return _let(rank(h), lambda w: F.when(w.isNotNull(), F.array(w)).when(size == 0, F.array().cast("array<int>")).when(size <= LONG, run(one)).otherwise(run_long()))
 
         return F.transform(words, lambda w: _let(F.lower(F.hex(F.encode(w, "utf-8"))), ids))
 

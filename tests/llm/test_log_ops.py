@@ -149,8 +149,10 @@ def test_audit_finds_damage(spark):
     assert warc_audit.root(none) is None and warc_audit.audit(none, none)[0].count() == 0
 
 
-def test_separators_across_blocks(spark):
+@pytest.mark.parametrize("segment", [4096, 2])
+def test_separators_across_blocks(spark, segment, monkeypatch):
     np = pytest.importorskip("numpy")
+    monkeypatch.setattr(token_counts, "SEGMENT", segment)
     g = random.Random(2)
     data, want = [], set()
     for f in range(4):
@@ -166,6 +168,8 @@ def test_separators_across_blocks(spark):
             data.append((f, b, bytearray(np.array(ids[8 * b : 8 * b + 8], "<u2").tobytes())))
     data += [(9, 0, None), (9, 1, bytearray(np.array([99, 1], "<u2").tobytes()))]
     want |= {(9, 0, 0, 0, False), (9, 1, 1, 1, True)}
+    data += [(None, -1, bytearray(b"\x01\x00")), (None, 0, bytearray(b"\x01\x00\x63\x00"))]  # a null file, a number below 0
+    want |= {(None, 0, 0, 2, False)}
     blocks = spark.createDataFrame(data, "file long, block long, tokens binary")
     got = {(r.file, r.doc, r.start, r.n_tokens, r.open) for r in token_counts.token_counts(blocks, 99).collect()}
     assert got == want

@@ -2,9 +2,10 @@
 
 A file is a stream of token ids cut into blocks of a fixed size; documents end with an
 end-of-document id and may run over any number of blocks.  One vectorised scan per block finds the
-separators; a prefix scan over the block summaries (one row per block, windows per file) gives every
-block its start in the stream, the number of documents ended before it and where the open document
-began; documents are stitched from that, so no block needs its neighbours' tokens.
+separators; a prefix scan over the block summaries (a few numbers per block, windows per segment of a
+file, then over its segments) gives every block its start in the stream, the number of documents ended
+before it and where the open document began; documents are stitched from that, so no block needs its
+neighbours' tokens.
 
 Defined cases: a null block is an empty one; consecutive separators make documents of zero tokens;
 tokens after a file's last separator form a last document marked ``open``; an empty table gives no
@@ -22,6 +23,8 @@ from .common import stored, text_slices
 
 #: about so many bytes of token files are read by one task
 TASK_BYTES = 16 << 20
+#: blocks that the prefix scan sums in one group
+SEGMENT = 4096
 
 
 def write_token_blocks(docs: DataFrame, rank_file: str, pattern: str, eod: int, block_tokens: int = 1 << 18) -> DataFrame:
@@ -182,16 +185,38 @@ def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
+def _prefix_scan(blocks: DataFrame) -> DataFrame:
+    """file, row, n, last, count, block of block summaries, with first (ids before the block), before
+    (documents ended before it) and began (start of the document that is open at its start).
+
+    Blocks are summed within segments and segments within their file, so that a task sorts at most
+    ``SEGMENT`` blocks, or a file's segments; only these fixed-width rows move."""
+    prior = Window.partitionBy("file", "segment").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
+    s = blocks.withColumn("segment", F.floor(F.col("block") / SEGMENT))
+    s = s.withColumn("first", F.coalesce(F.sum("n").over(prior), F.lit(0).cast("long"))).withColumn("before", F.coalesce(F.sum("count").over(prior), F.lit(0).cast("long")))
+    s = s.withColumn("closed", F.col("first") + F.col("last"))
+    s = s.withColumn("began", F.max("closed").over(prior) + 1)
+    earlier = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    t = s.groupBy("file", "segment").agg(F.sum("n").alias("n"), F.sum("count").alias("count"), F.max("closed").alias("closed"))
+    t = t.withColumn("ids", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")))
+    t = t.select(F.col("file").alias("of"), F.col("segment").alias("at"), "ids", F.coalesce(F.sum("count").over(earlier), F.lit(0).cast("long")).alias("docs"), F.max(F.col("ids") + F.col("closed")).over(earlier).alias("closed_before"))
+    both = s.join(t, F.col("file").eqNullSafe(F.col("of")) & F.col("segment").eqNullSafe(F.col("at")))
+    began = F.coalesce(F.col("ids") + F.col("began"), F.col("closed_before") + 1, F.lit(0).cast("long"))
+    return both.select("file", "row", "block", "n", "last", "count", (F.col("ids") + F.col("first")).alias("first"), (F.col("docs") + F.col("before")).alias("before"), began.alias("began"))
+
+
 def count_documents(scanned: DataFrame) -> DataFrame:
-    """file, doc (ordinal in the file), start, n_tokens, open, block and i (its place among the block's)."""
-    prior = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    s = scanned.withColumn("first", F.coalesce(F.sum("n").over(prior), F.lit(0).cast("long")))
-    s = s.withColumn("last_end", F.when(F.size("ends") > 0, F.col("first") + F.array_max("ends")))
-    s = s.select("file", "block", "n", "first", "ends", F.coalesce(F.max("last_end").over(prior) + 1, F.lit(0).cast("long")).alias("began"), F.coalesce(F.sum(F.size("ends")).over(prior), F.lit(0)).cast("long").alias("before"))
-    each = s.select("file", "block", "before", "began", "first", F.posexplode("ends").alias("i", "end"), "ends")
+    """file, doc (ordinal in the file), start, n_tokens, open, block and i (its place among the block's).
+
+    The scan's rows (separators' places, a few bytes a document) are written to the shared folder
+    once, each under a number; the prefix scan reads their summaries and is joined back by number."""
+    rows = stored(scanned.select("file", "block", "n", "ends", F.monotonically_increasing_id().alias("row")), "token-scan")
+    placed = _prefix_scan(rows.select("file", "block", "row", "n", F.size("ends").cast("long").alias("count"), F.array_max("ends").alias("last")))
+    each = rows.select("row", "ends").where(F.size("ends") > 0).join(placed.select("file", "block", "row", "first", "before", "began"), "row")
+    each = each.select("file", "block", "before", "began", "first", F.posexplode("ends").alias("i", "end"), "ends")
     start = F.when(F.col("i") == 0, F.col("began")).otherwise(F.col("first") + F.get("ends", F.col("i") - 1) + 1)
     closed = each.select("file", (F.col("before") + F.col("i")).alias("doc"), start.alias("start"), (F.col("first") + F.col("end") - start).alias("n_tokens"), F.lit(False).alias("open"), "block", "i")
-    tail = s.groupBy("file").agg(F.max(F.col("first") + F.col("n")).alias("all"), F.max(F.when(F.size("ends") > 0, F.col("first") + F.array_max("ends") + 1)).alias("end"), F.sum(F.size("ends")).cast("long").alias("doc"), F.max("block").alias("block"))
+    tail = placed.groupBy("file").agg(F.max(F.col("first") + F.col("n")).alias("all"), F.max(F.col("first") + F.col("last") + 1).alias("end"), F.sum("count").alias("doc"), F.max("block").alias("block"))
     tail = tail.withColumn("end", F.coalesce("end", F.lit(0).cast("long"))).where("all > end")
     return closed.unionAll(tail.select("file", "doc", F.col("end").alias("start"), (F.col("all") - F.col("end")).alias("n_tokens"), F.lit(True).alias("open"), "block", F.lit(None).cast("int").alias("i")))
 

@@ -1,6 +1,7 @@
 """Operators on documents: brute force, edge cases and planted cases on small tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -282,6 +283,54 @@ def test_longest_match(spark):
     assert (r.longest, r.longest_start, r.longest_item) == (25, 10, "4")
 
 
+def test_suffix_array_brute_force():
+    """Every place, item and longest match of small shards over few words, in one block and in many."""
+    g = random.Random(1)
+    for _ in range(150):
+        known = [f"w{i}" for i in range(g.choice([2, 3, 8, 30]))]
+        texts = [None if g.random() < 0.1 else " ".join(g.choice([*known, "zz"]) for _ in range(g.randrange(40))) for _ in range(6)]
+        rows = [(str(i // 2), " ".join(g.choice(known) for _ in range(g.randrange(14)))) for i in range(5)]
+        width = g.choice([1, 2, 3, 8])
+        one = decontaminate.match_shard(texts, decontaminate.Items(rows, width))
+        many = decontaminate.match_shard(texts, decontaminate.Items(rows[:1], width))
+        for r in rows[1:]:
+            many = [decontaminate._merge(a, b) for a, b in zip(many, decontaminate.match_shard(texts, decontaminate.Items([r], width)))]
+        items = [(n, t.split()) for n, t in rows if t]
+        for text, got, again in zip(texts, one, many):
+            w, hit, names, starts = (text or "").split(), set(), set(), set()
+            for n, x in items:
+                k = min(width, len(x))
+                windows = {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+                here = {i for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in windows}
+                starts |= here
+                hit |= {i + d for i in here for d in range(k)}
+                names |= {n} if here else set()
+            best = (0, 0, "")
+            for i in starts:
+                for n, x in items:
+                    for j in range(len(x)):
+                        common = 0
+                        while i + common < len(w) and j + common < len(x) and w[i + common] == x[j + common]:
+                            common += 1
+                        best = max(best, (common, -i, n))
+            covered = {p for s in got[1] for p in range(s["start"], s["start"] + s["length"])}
+            assert (got[0], covered, got[2]) == (len(w), hit, sorted(names)) and again[:3] == got[:3]
+            assert got[3:] == ((best[0], -best[1], best[2]) if starts else (0, None, None))
+
+
+def test_suffix_order():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        numbers = np.append(g.integers(0, 3, n), 0)
+        order, texts = decontaminate.SuffixOrder(numbers), [tuple(numbers[i : i + int(np.argmax(numbers[i:] == 0))]) for i in range(n + 1)]
+        a, b = g.integers(0, n + 1, 500), g.integers(0, n + 1, 500)
+        shared = [next((k for k, (x, y) in enumerate(zip(texts[i], texts[j])) if x != y), min(len(texts[i]), len(texts[j]))) for i, j in zip(a, b)]
+        assert order.common(a, b).tolist() == shared
+        assert all((order.ranks[-1][i] < order.ranks[-1][j]) == (texts[i] < texts[j]) for i, j in zip(a, b))
+
+
 @pytest.fixture(scope="module")
 def encoding():
     tiktoken = pytest.importorskip("tiktoken")
@@ -365,6 +414,28 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_license_scores_brute_force():
+    """Every line and paragraph gets the probabilities of the plain sum over all its n-grams."""
+    model = license_scan.train(None, copies=10)
+    known, seen = [license_scan.words_of(t) for ts in license_scan.TEMPLATES.values() for t in ts], set()
+    g = random.Random(4)
+    every = [x for w in known for x in w]
+    lines = [*known, [], ["of", "the"], ["zz"], *([g.choice([*every, "zz"]) for _ in range(g.randrange(30))] for _ in range(200))]
+    lines += [w[: g.randrange(len(w))] + ["zz"] * g.randrange(3) + w[g.randrange(len(w)) :] for w in known for _ in range(5)]
+    for w in lines:
+        found = [model.matrix[model.row[x]] for x in license_scan.grams(w) if x in model.row]
+        s = [b + sum(float(r[c]) for r in found) / max(1, len(found)) ** 0.5 for c, b in enumerate(model.bias)]
+        e = [math.exp((x - max(s)) / model.temperature) for x in s]
+        p = [x / sum(e) for x in e]
+        assert list(model.probabilities(w)) == pytest.approx(p, abs=1e-5)
+        best = max(range(len(p)), key=p.__getitem__)
+        name, sure, _ = model.classify_words(w)
+        seen.add(name)
+        if abs(p[best] - model.cutoff) > 1e-5:
+            assert name == (model.classes[best] if p[best] >= model.cutoff else "unknown") and sure == pytest.approx(p[model.classes.index(name)], abs=1e-5)
+    assert len(seen) > 8
+
+
 def test_wrapped_licenses(spark):
     """Notices wrapped over lines are found whole, once each, however narrow the lines are."""
     import textwrap

@@ -9,13 +9,15 @@ which a family is named at all; below it the paragraph is unknown.  A named fami
 confirmed by comparison with its templates: the share of a template's word pairs found in the
 paragraph must reach ``confirm``.
 
-A paragraph without any strong word (one of a template that is no function word) is unknown at
-once: fewer than ``confirm`` of any template's pairs consist of function words alone, so it could
-not be confirmed.  Windows reach as far as a template's words can from a line, however narrowly it
-is wrapped; a window or paragraph is named only if confirmed, and where no line or smaller window
-it shares has been confirmed for that family, so that a notice counts once.  Defined cases: null or empty text: no paragraphs; blank lines are none;
-repeated rows come back repeatedly; an empty table trains on templates alone; extra columns are
-ignored.
+Every line and every paragraph is scored: only words of the model's vocabulary can form its n-grams,
+so the others are skipped on the way to an equal score.  Windows reach as far as a template's words
+can from a line, however narrowly it is wrapped; a window is named only if confirmed (it is scored
+where its word pairs suffice for that), and where no line or smaller window it shares has been
+confirmed for that family, so that a notice counts once.  A paragraph of several lines that is named
+and not confirmed counts if none of its lines is named for that family.  Defined cases: null or empty
+text: no paragraphs; blank lines are none; a line without any word of the vocabulary gets the
+probabilities of the model's bias; repeated rows come back repeatedly; an empty table trains on
+templates alone; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +44,6 @@ TEMPLATES = {
     "public-domain": ["This work has been dedicated to the public domain.", "This is free and unencumbered software released into the public domain."],
     "reserved": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission of the publisher."],
 }
-WEAK = {"a", "all", "and", "any", "are", "as", "at", "be", "by", "for", "free", "in", "is", "it", "may", "no", "not", "of", "or", "that", "the", "this", "to", "under", "use", "with", "without", "you", "has", "been", "into", "can", "file", "work", "part", "form", "code", "person"}
 _word = re.compile(r"[a-z0-9][a-z0-9.\-]*")
 
 
@@ -62,7 +63,9 @@ class LicenseModel:
     """Weights per n-gram, temperature and cutoff; plain values."""
 
     def __init__(self, classes, weights, bias, temperature, cutoff, confirm):
-        self.classes, self.weights, self.bias, self.temperature, self.cutoff, self.confirm = classes, weights, bias, temperature, cutoff, confirm
+        import numpy as np
+
+        self.classes, self.bias, self.temperature, self.cutoff, self.confirm = classes, bias, temperature, cutoff, confirm
         self.templates = {c: [_pairs(words_of(t)) for t in TEMPLATES[c]] for c in classes if c in TEMPLATES}
         self.longest = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
         # pair -> numbers of the templates that hold it, and how many of each one's pairs confirm it
@@ -71,34 +74,62 @@ class LicenseModel:
         for k, t in enumerate(every):
             for pair in t:
                 self.holders.setdefault(pair, []).append(k)
-        self.strong = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t)} - WEAK
+        # one row per n-gram of the vocabulary; words that no n-gram holds are passed over
+        self.row = {g: i for i, g in enumerate(weights)}
+        self.matrix = np.array([*weights.values()], np.float64).reshape(len(weights), len(classes))
+        self.words = {w for g in weights for w in g.split(" ")}
+        self.memo: dict[tuple[int, ...], tuple[str, float]] = {}
+
+    def grams_of(self, words: list[str]) -> set[int]:
+        """Numbers of the vocabulary's n-grams found in ``words``."""
+        known, row, out = self.words, self.row, set()
+        a = b = None  # the two words before, where they are known
+        for c in words:
+            if c not in known:
+                a = b = None
+                continue
+            for g in (c, b and f"{b} {c}", a and f"{a} {b} {c}"):
+                if g in row:
+                    out.add(row[g])
+            a, b = b, c
+        return out
 
     def probabilities(self, words: list[str]):
+        return self._softmax(self.grams_of(words))
+
+    def _softmax(self, found):
         import numpy as np
 
-        found = [g for g in grams(words) if g in self.weights]
-        s = self.bias.copy()
-        for g in found:
-            s += self.weights[g] / np.sqrt(len(found))
+        s = self.bias + self.matrix[sorted(found)].sum(0) / np.sqrt(max(1, len(found)))
         e = np.exp((s - s.max()) / self.temperature)
         return e / e.sum()
 
+    def _best(self, found: set[int]) -> tuple[str, float]:
+        """The class of a set of n-grams (unknown below the cutoff) and its probability; small sets recur."""
+        import numpy as np
+
+        key = tuple(sorted(found)) if len(found) <= 4 else None
+        if key in self.memo:
+            return self.memo[key]
+        p = self._softmax(found)
+        best = int(np.argmax(p))
+        if self.classes[best] == "unknown" or p[best] < self.cutoff:
+            best = self.classes.index("unknown")
+        got = self.classes[best], float(p[best])
+        if key is not None and len(self.memo) < 1 << 16:
+            self.memo[key] = got
+        return got
+
     def classify(self, paragraph: str) -> tuple[str, float, bool]:
         """family (or unknown), its probability, and whether a template confirms it."""
         return self.classify_words(words_of(paragraph))
 
     def classify_words(self, words: list[str]) -> tuple[str, float, bool]:
-        import numpy as np
-
-        if self.strong.isdisjoint(words):
-            return "unknown", 1.0, False
-        p = self.probabilities(words)
-        best = int(np.argmax(p))
-        name = self.classes[best]
-        if name == "unknown" or p[best] < self.cutoff:
-            return "unknown", float(p[self.classes.index("unknown")]), False
+        name, p = self._best(self.grams_of(words))
+        if name == "unknown":
+            return name, p, False
         mine = _pairs(words)
-        return name, float(p[best]), any(len(t & mine) >= self.confirm * len(t) for t in self.templates[name])
+        return name, p, any(len(t & mine) >= self.confirm * len(t) for t in self.templates[name])
 
     def _may_confirm(self, hits) -> bool:
         """Whether ``hits`` (sets of known pairs) hold enough of some template together."""
@@ -112,22 +143,18 @@ class LicenseModel:
         """What is found in one paragraph, given as (line number, text)."""
         found = []
         numbered = [(i, w) for i, x in lines if (w := words_of(x))]
-        strong = False
         for i, w in numbered:
-            if self.strong.isdisjoint(w):
-                continue
-            strong = True
             family, p, sure = self.classify_words(w)
             if family != "unknown":
                 found.append({"line": i, "family": family, "probability": p, "confirmed": sure})
         n = len(numbered)
-        if n < 2 or not strong:
+        if n < 2:
             return found
         # known pairs of a line, and the one that runs into the next line
         inside = [{x for a, b in zip(w, w[1:]) if (x := f"{a} {b}") in self.holders} for _, w in numbered]
         across = [{x} if (x := f"{a[-1]} {b[0]}") in self.holders else set() for (_, a), (_, b) in zip(numbered, numbered[1:])]
         if not self._may_confirm([*inside, *across]):
-            return found
+            return self._whole(numbered, found)
         place = {i: k for k, (i, _) in enumerate(numbered)}
         taken = [(place[x["line"]], place[x["line"]], x["family"]) for x in found if x["confirmed"]]
         windows = []
@@ -147,7 +174,14 @@ class LicenseModel:
                 taken.append((a, b, family))
                 found = [x for x in found if x["confirmed"] or x["family"] != family or not a <= place[x["line"]] <= b]
                 found.append({"line": numbered[a][0], "family": family, "probability": p, "confirmed": True})
-        return sorted(found, key=lambda x: x["line"])
+        return self._whole(numbered, sorted(found, key=lambda x: x["line"]))
+
+    def _whole(self, numbered: list[tuple[int, list[str]]], found: list[dict]) -> list[dict]:
+        """``found`` with the paragraph's own family in front, unless a line or window has it already."""
+        family, p, sure = self.classify_words([x for _, w in numbered for x in w])
+        if family == "unknown" or any(x["family"] == family for x in found):
+            return found
+        return [{"line": numbered[0][0], "family": family, "probability": p, "confirmed": sure}, *found]
 
 
 def paragraphs_of(text: str) -> list[list[tuple[int, str]]]:
@@ -242,19 +276,13 @@ def scan(docs: DataFrame, model: LicenseModel, keep: list[str], text: str = "tex
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(T.ArrayType(item))
-        maybe = re.compile("|".join(sorted(map(re.escape, model.strong))))
         for whole in batches:
             for b in text_slices(whole, text, 8 << 20):
                 count, found = [], []
                 for t in b.column(b.schema.get_field_index(text)).to_pylist():
                     parts = paragraphs_of(t or "")
                     count.append(len(parts))
-                    got = []
-                    # most texts hold no strong word at all, not even inside another word
-                    if t and maybe.search(t.lower()):
-                        for lines in parts:
-                            got.extend(model.paragraph(lines))
-                    found.append(got)
+                    found.append([x for lines in parts for x in model.paragraph(lines)])
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(count, pa.int64()), pa.array(found, kind)], names=[*keep, "n_paragraphs", "found"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_slices
+from .common import give_back, stored, text_slices
 
 MAPS = 4096
 LONG = 64
@@ -367,7 +367,12 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as stream:
         stream.write_table(got)
-    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del got
+    raw = sink.getvalue().to_pybytes()
+    del sink
+    shared = docs.sparkSession.sparkContext.broadcast(raw)
+    del raw
+    give_back()
     rows = _asked(docs, keep, shared, pattern, explicit, text).withColumn("__ids", fold_words(F.col("__ask"), ranks))
 
     def run(batches):

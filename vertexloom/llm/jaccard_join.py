@@ -166,9 +166,11 @@ class Filter:
         mask = F.lit((1 << log) - 1)
         places = F.array(*(F.shiftrightunsigned(h, n).bitwiseAND(mask) for h in ("h1", "h2") for n in (0, 32)))
         at = hashes.select(F.explode(places).alias("p"))
-        got = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
+        got = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
         words = np.zeros(1 << (log - 6), np.int64)
-        words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+        words[got.column("w").to_numpy()] = got.column("b").to_numpy()
+        del got
+        give_back()
         return cls(words.tobytes(), log)
 
     def holds(self, h1, h2):

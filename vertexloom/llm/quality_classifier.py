@@ -22,7 +22,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shielded, stored, text_slices
+from .common import give_back, shielded, stored, text_slices
 
 DIM = 24
 _symbol = re.compile(r"[#*$%&|<>]")
@@ -146,12 +146,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 8000, max_unlabe
     chosen = stored(pos.unionAll(unl), "sample")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_positive + max_unlabelled ids at most
     # one row of each id, whatever the number of its rows: the one of the least measures
-    got = _featured(texts, ["kind", "doc_id"]).groupBy("kind", "doc_id").agg(F.min("x").alias("x")).orderBy("kind", "doc_id").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), DIM)
-    p, u = x[got["kind"].to_numpy() == 1], x[got["kind"].to_numpy() == 0]
+    got = _featured(texts, ["kind", "doc_id"]).groupBy("kind", "doc_id").agg(F.min("x").alias("x")).orderBy("kind", "doc_id").toArrow()
+    x, kind = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, DIM), got.column("kind").to_numpy()
+    p, u = x[kind == 1], x[kind == 0]
+    del got, x
     if len(p) < 2 or len(u) < 2:
         return None
-    return _train(p, u, estimate_prior(p, u, seed), seed, steps, hidden)
+    model = _train(p, u, estimate_prior(p, u, seed), seed, steps, hidden)
+    give_back()
+    return model
 
 
 def _featured(df: DataFrame, keep: list[str]) -> DataFrame:

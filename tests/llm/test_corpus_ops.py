@@ -4,7 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,6 +399,33 @@ def test_bpe_has_one_way_for_all_words(spark, encoding, monkeypatch):
     assert not [k for k in vars(byte_bpe) if k.startswith("fold") and k != "fold_words"]
 
 
+def test_bpe_numbers_of_words(monkeypatch):
+    """Numbers are exact, also where hashes clash, and a look-up costs by the words asked for."""
+    g = random.Random(9)
+    every = sorted({"".join(g.choice("abcdeé漢") for _ in range(g.randint(1, 9))) for _ in range(30_000)})
+    g.shuffle(every)
+    held, other = pa.array(every[::2] + ["y" * 50_000, ""]), pa.array(every[1::2])
+    numbers = byte_bpe.Numbers(held.slice(0, 7))
+    numbers.add(held.slice(7))
+    assert numbers.find(held).tolist() == list(range(len(held))) and set(numbers.find(other).tolist()) == {-1}
+    began = time.process_time()
+    for _ in range(2_000):
+        numbers.find(held.slice(50, 5))
+    assert time.process_time() - began < 3  # hashing all held words at each call takes over 1 ms a call
+    monkeypatch.setattr(byte_bpe, "_hashes", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    clash = byte_bpe.Numbers(pa.array(["ab", "cd", "e"]))
+    assert clash.find(pa.array(["e", "ab", "cd", "zz", "xyz"])).tolist() in ([2, 0, -1, -1, -1], [2, -1, 1, -1, -1])
+
+
+def test_bpe_dictionary_takes_what_fits(spark, encoding, monkeypatch):
+    """Words of three slices are kept where those of two do not fit."""
+    path, _ = encoding
+    monkeypatch.setattr(byte_bpe, "COUNT_SLICE", 1)
+    docs = table(spark, ["two three", "two three", "xx three", "yy zz"])
+    got = byte_bpe.dictionary(docs, byte_bpe.read_ranks(path), P.PATTERN, max_words=1)
+    assert [r.word for r in got.collect()] == [" three"]
+
+
 def test_license_scan(spark, odd):
     notes = {"apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "reserved": "All rights reserved."}
     texts = [prose(i) + "\n" + t + "\n" + prose(i + 50) for i, t in enumerate(notes.values())] + [prose(i) for i in range(20)] + ["licensed taxi drivers have rights to version their version of the public"]

@@ -7,13 +7,15 @@ count go this way:
 
 1. *Dictionary*: the distinct words of every slice of text are counted over the slices; the words
    found in most slices (``max_words`` at most, so that it can be broadcast) are folded once for all.
-2. *Ask*: every task lists, slice by slice, the distinct words that neither the dictionary nor an
-   earlier slice of the task holds; they ride on the slice's first row.
+2. *Ask*: every task numbers, slice by slice, the words of its texts (first the dictionary's, then its
+   own) and lists the distinct words that neither the dictionary nor an earlier slice of the task
+   holds; they ride on the slice's first row.
 3. *Fold*: the same higher-order functions fold them, in the same task.
-4. *Spell*: the ids of all words of a slice are put in the texts' order by Arrow kernels.  Decoding
-   concatenates the pieces' bytes.
+4. *Spell*: the ids of all words of a slice are put in the texts' order by Arrow kernels, by the words'
+   numbers.  Decoding concatenates the pieces' bytes.
 
-Texts are read twice (dictionary, encoding) and never shuffled; only (word, slices) is.
+Texts are read twice (dictionary, encoding), split once each time and never shuffled; only (word,
+slices) is.  From the splitting to the spelling a text is four bytes a word.
 
 Words of more than LONG bytes merge all places of the lowest rank in one step, from left to right.
 That is the same as one by one unless a merged piece joins a neighbour (or the start of the next
@@ -92,10 +94,10 @@ def explicit_pattern(pattern: str) -> str:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> F.Column:
-    """The rank map as one literal: MAPS small maps from hex to rank."""
+    """The rank map as one literal: MAPS small maps from hex (in capitals, as Spark writes it) to rank."""
     dealt: list[dict[str, int]] = [{} for _ in range(MAPS)]
     for k, v in ranks.items():
-        h = k.hex()
+        h = k.hex().upper()
         dealt[zlib.crc32(h.encode()) % MAPS][h] = v
     return F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), "array<map<string,int>>")
 
@@ -154,7 +156,7 @@ def fold_words(words: F.Column, ranks: dict[bytes, int]) -> F.Column:
             run_long = lambda: F.aggregate(some, start, lambda a, _: F.when(a["m"].isNull(), a).otherwise(further(a)), lambda a: F.transform(a["p"], rank))
             return _let(rank(h), lambda w: F.when(w.isNotNull(), F.array(w)).when(size == 0, F.array().cast("array<int>")).when(size <= LONG, run(one)).otherwise(run_long()))
 
-        return F.transform(words, lambda w: _let(F.lower(F.hex(F.encode(w, "utf-8"))), ids))
+        return F.transform(words, lambda w: _let(F.hex(F.encode(w, "utf-8")), ids))
 
     return _let(rank_literal(ranks), folded)
 
@@ -267,12 +269,77 @@ def _texts(batch, column: str):
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.string()), "")
 
 
-def _found(words, among):
-    """Place of each word in ``among``, -1 if it is not there."""
+def _data(column, kind):
+    """Offsets and values of an Arrow array of strings or binaries, without copying."""
     import numpy as np
-    import pyarrow.compute as pc
 
-    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    size = np.dtype(kind).itemsize
+    return off.astype(np.int64), np.frombuffer(data, kind, int(off[-1]) // size) if off[-1] else np.zeros(0, kind)
+
+
+@functools.lru_cache(1)
+def _factors():
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    return g.integers(1, 1 << 63, 256, np.uint64), g.integers(1, 1 << 63, 4096, np.uint64) | np.uint64(1)
+
+
+def _hashes(words):
+    """64 bits of every word."""
+    import numpy as np
+
+    off, data = _data(words, np.uint8)
+    first, last = int(off[0]), int(off[-1])
+    letter, place = _factors()
+    at = np.arange(first, last) - np.repeat(off[:-1], np.diff(off))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter[data[first:last]] * place[at & 4095], dtype=np.uint64)])
+    return sums[off[1:] - first] - sums[off[:-1] - first]
+
+
+class Numbers:
+    """Numbers of distinct words, found by their hashes and then compared whole.
+
+    Arrow's index_in hashes all the words anew at every call.  Of two words with one hash the later is
+    never found and so is taken for a new word, which costs a fold and changes no result."""
+
+    def __init__(self, words):
+        self.words = words.slice(0, 0)
+        self.hashes, self.number = _hashes(self.words), _hashes(self.words).astype("int64")
+        self.add(words)
+
+    def __len__(self):
+        return len(self.words)
+
+    def add(self, words):
+        import numpy as np
+        import pyarrow as pa
+
+        h = _hashes(words)
+        order = np.argsort(h)
+        at = np.searchsorted(self.hashes, h[order], "right")
+        self.number = np.insert(self.number, at, order + len(self))
+        self.hashes = np.insert(self.hashes, at, h[order])
+        self.words = pa.concat_arrays([self.words, words]) if len(self) else words
+
+    def find(self, words):
+        """Number of each word, -1 if it has none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = np.full(len(words), -1, np.int64)
+        if not len(self) or not len(words):
+            return out
+        h = _hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+        alike = np.flatnonzero(self.hashes[at] == h)
+        number = self.number[at[alike]]
+        same = pc.equal(self.words.take(pa.array(number)), words.take(pa.array(alike))).to_numpy(zero_copy_only=False)
+        out[alike[same]] = number[same]
+        return out
 
 
 # --- encoding ------------------------------------------------------------------------------------
@@ -296,47 +363,69 @@ def count_slices(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", max_words: int = 1 << 20) -> DataFrame:
     """word, ids of the words found in most slices, in two slices at least: ``max_words`` at most.
 
-    Kept are the words of 2**k slices or more, for the least k that fits.  It only saves folding a word
-    again in another task."""
+    Kept are the words of so many slices or more (from 64 on: of a power of two) as fit.  It only saves
+    folding a word again in another task."""
     counts = stored(count_slices(docs, pattern, text).where("n > 1"), "words")
-    seen = {r.k: r.c for r in counts.groupBy(F.expr("length(bin(n))").alias("k")).agg(F.count("*").alias("c")).collect()}
-    k, total = 64, 0
+    level = F.expr("if(n < 64, n, 57 + length(bin(n)))")
+    seen = {r.k: r.c for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("c")).collect()}
+    k, total = 57 + 65, 0
     while k > 2 and total + seen.get(k - 1, 0) <= max_words:
         k -= 1
         total += seen.get(k, 0)
-    few = counts.where(f"length(bin(n)) >= {k}").select("word")
+    few = counts.where(level >= k).select("word")
     bundles = few.groupBy(F.pmod(F.xxhash64("word"), F.lit(max(1, total // 4096))).alias("b")).agg(F.collect_list("word").alias("word"))
     folded = bundles.repartition(max(1, min(4096, total // 4096))).select("word", fold_words(F.col("word"), ranks).alias("ids"))
     return folded.select(F.explode(F.arrays_zip("word", "ids")).alias("o")).select("o.word", "o.ids")
 
 
+def _sealed(array) -> bytes:
+    """An Arrow array as bytes, for a broadcast."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", array.type)])) as stream:
+        stream.write_table(pa.table([array], names=["x"]))
+    return sink.getvalue().to_pybytes()
+
+
 def _opened(raw: bytes):
+    """The array of ``_sealed``, read where the bytes lie."""
     import pyarrow as pa
 
-    return pa.ipc.open_stream(raw).read_all()
+    column = pa.ipc.open_stream(raw).read_all().column("x")
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _asked(docs: DataFrame, keep: list[str], shared, pattern: str, explicit: str, text: str) -> DataFrame:
-    """``keep`` and text with ``ask`` (words to fold) and ``renew`` (whether earlier ones are forgotten)."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__text", T.StringType()), T.StructField("__ask", T.ArrayType(T.StringType())), T.StructField("__renew", T.BooleanType())])
+    """``keep`` with ``__code`` (the numbers of the text's words, four bytes each: the dictionary's words
+    come first, then those asked for), ``__ask`` (words to fold) and ``__at``: on the first row of a
+    slice the number of words asked for before (0: all earlier ones are forgotten), else -1."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("__code", T.BinaryType()), T.StructField("__ask", T.ArrayType(T.StringType())), T.StructField("__at", T.LongType())])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        split, known = Splitter(pattern, explicit), _opened(shared.value).column("word").combine_chunks()
-        asked = pa.array([], pa.string())
+        split, known = Splitter(pattern, explicit), Numbers(_opened(shared.value))
+        asked = Numbers(pa.array([], pa.string()))
         for whole in batches:
             for b in text_slices(whole, text, SLICE):
-                texts = _texts(b, text)
-                words = split.distinct(texts)
-                words = words.filter(pa.array(_found(words, known) < 0))
-                renew = len(asked) + len(words) > ASKED
-                fresh = words if renew else words.filter(pa.array(_found(words, asked) < 0))
-                asked = fresh if renew else pa.concat_arrays([asked, fresh])
-                ask = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(b.num_rows + 1), 1) * len(fresh), pa.int32()), fresh)
+                words, code, off = split.words(_texts(b, text))
+                number = known.find(words)
+                rest = np.flatnonzero(number < 0)
+                words = words.take(pa.array(rest))
+                if len(asked) + len(words) > ASKED:
+                    asked = Numbers(words.slice(0, 0))
+                mine, at = asked.find(words), len(asked)
+                new = np.flatnonzero(mine < 0)
+                fresh = words.take(pa.array(new))
+                mine[new] = at + np.arange(len(new))
+                asked.add(fresh)
+                number[rest] = len(known) + mine
                 first = np.arange(b.num_rows) == 0
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), texts, ask, pa.array(first & renew)], names=[*keep, "__text", "__ask", "__renew"])
+                codes = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((4 * off).astype(np.int32)), pa.py_buffer(number.astype(np.int32)[code])])
+                ask = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(b.num_rows + 1), 1) * len(fresh), pa.int32()), fresh)
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), codes, ask, pa.array(np.where(first, at, -1), pa.int64())], names=[*keep, "__code", "__ask", "__at"])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
@@ -362,16 +451,13 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
     number of the distinct word at every place, and the offsets of the texts among the places."""
     import pyarrow as pa
 
-    explicit = explicit_pattern(pattern)
+    explicit, kind = explicit_pattern(pattern), pa.list_(pa.int32())
     got = dictionary(docs, ranks, pattern, text, max_words).toArrow().combine_chunks()  # max_words rows at most
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, got.schema) as stream:
-        stream.write_table(got)
+    size = got.num_rows
+    sealed = [_sealed(pa.concat_arrays([*got.column(c).chunks, pa.array([], got.schema.field(c).type)]).cast(t)) for c, t in (("word", pa.string()), ("ids", kind))]
     del got
-    raw = sink.getvalue().to_pybytes()
-    del sink
-    shared = docs.sparkSession.sparkContext.broadcast(raw)
-    del raw
+    shared, shared_ids = map(docs.sparkSession.sparkContext.broadcast, sealed)
+    del sealed
     give_back()
     rows = _asked(docs, keep, shared, pattern, explicit, text).withColumn("__ids", fold_words(F.col("__ask"), ranks))
 
@@ -379,39 +465,34 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
         import numpy as np
         import pyarrow as pa
 
-        split, kind = Splitter(pattern, explicit), pa.list_(pa.int32())
-        table = _opened(shared.value)
-        # one chunk, read where the broadcast lies
-        known, known_ids = (table.column(c).chunk(0) if table.num_rows else pa.array([], t) for c, t in (("word", pa.string()), ("ids", kind)))
-        known_ids = known_ids.cast(kind)
-        words, ids = known.slice(0, 0), known_ids.slice(0, 0)
+        known = _opened(shared_ids.value)
+        ids = known.slice(0, 0)
 
         def learned(b):
-            """the batch cut before every row that brings words; those are taken in first"""
-            nonlocal words, ids
-            brings = _column(b, "__ask").value_lengths().to_numpy(zero_copy_only=False) > 0
-            renews = _column(b, "__renew").to_numpy(zero_copy_only=False).astype(bool)
-            cut = [0, *(i for i in np.flatnonzero(brings | renews).tolist() if i), b.num_rows]
+            """the batch cut before every row that begins a slice; the words that it brings are taken in first"""
+            nonlocal ids
+            begins = _column(b, "__at").to_numpy(zero_copy_only=False)
+            cut = [0, *(i for i in np.flatnonzero(begins >= 0).tolist() if i), b.num_rows]
             for x, y in zip(cut, cut[1:]):
                 part = b.slice(x, y - x)
-                if renews[x]:
-                    words, ids = words.slice(0, 0), ids.slice(0, 0)
-                if brings[x]:
-                    words = pa.concat_arrays([words, _column(part, "__ask").flatten()])
+                if begins[x] >= 0:
+                    ids = ids.slice(0, int(begins[x]) and len(ids))
+                    if begins[x] != len(ids):
+                        raise RuntimeError("words came in another order than they were asked for")
                     ids = pa.concat_arrays([ids, _column(part, "__ids").flatten().cast(kind)])
                 yield part
 
         for batch in batches:
             for part in learned(batch) if batch.num_rows else ():
-                for b in text_slices(part, "__text", SLICE):
-                    mine, code, off = split.words(_texts(b, "__text"))
-                    a, c = _found(mine, known), _found(mine, words)
-                    old = a >= 0
-                    if (c[~old] < 0).any():
-                        raise RuntimeError("a word came without its ids")
+                for b in text_slices(part, "__code", SLICE // 2):
+                    off, codes = _data(_column(b, "__code"), np.int32)
+                    off = off // 4
+                    coded = pa.array(codes[off[0] :]).dictionary_encode()
+                    used = coded.dictionary.to_numpy(zero_copy_only=False)
+                    old = used < size
                     place = np.where(old, np.cumsum(old) - 1, old.sum() + np.cumsum(~old) - 1)
-                    picked = pa.concat_arrays([known_ids.take(pa.array(a[old])), ids.take(pa.array(c[~old]))])
-                    yield pa.RecordBatch.from_arrays([*(_column(b, k) for k in keep), *finish(picked, place[code], off)], names=[*keep, *(f.name for f in out)])
+                    picked = pa.concat_arrays([known.take(pa.array(used[old])), ids.take(pa.array(used[~old] - size))])
+                    yield pa.RecordBatch.from_arrays([*(_column(b, k) for k in keep), *finish(picked, place[coded.indices.to_numpy(zero_copy_only=False)], off - off[0])], names=[*keep, *(f.name for f in out)])
 
     return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + out))
 

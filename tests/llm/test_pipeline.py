@@ -66,3 +66,52 @@ def test_null_rows_everywhere(spark, tmp_path):
     spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [r.doc_id for r in got] == [None]
+
+
+def test_scratch_tables_cost_the_driver_little(spark, tmp_path, monkeypatch):
+    """Files of small tables follow their rows, none is made by the driver, and its free memory is given back."""
+    from vertexloom.llm import common
+
+    given = []
+    real = common.give_back_driver
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "give_back_driver", lambda s: given.append(real(s)))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(i, i + 1) for i in range(10)] + [(20, i) for i in range(21, 30)]
+        got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {**dict.fromkeys(range(11), 0), **dict.fromkeys(range(20, 30), 20)}
+    tables = [p for p in tmp_path.glob("*/*") if p.is_dir()]
+    assert len(given) == len(tables) > 4 and all(isinstance(x, bool) for x in given)
+    assert not list(tmp_path.rglob("_SUCCESS"))
+    files = {t.name: len(list(t.glob("part-*"))) for t in tables}
+    assert sorted(files.values())[:-1] == [1] * (len(files) - 1), files  # all but the given edges
+
+
+def test_driver_gives_native_memory_back(spark):
+    import re
+    from pathlib import Path
+
+    from vertexloom.llm.common import give_back_driver
+
+    jvm = spark.sparkContext._jvm
+    if not give_back_driver(spark):
+        pytest.skip("this JVM has no command to trim its native memory")
+    unsafe = jvm.org.apache.spark.unsafe.Platform
+    held = lambda: int(re.search(r"Pss_Anon: +(\d+)", Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read_text())[1])
+    size = 64 << 10
+    blocks = [unsafe.allocateMemory(size) for _ in range(2000)]
+    for at in blocks:
+        unsafe.setMemory(at, 1, size)
+    last = blocks.pop()  # a block in use above the free ones, so that only trimming gives them back
+    for at in blocks:
+        unsafe.freeMemory(at)
+    before = held()
+    assert give_back_driver(spark)
+    after = held()
+    unsafe.freeMemory(last)
+    assert before - after > 60_000, (before, after)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, stored, text_slices
+from .common import give_back, give_back_driver, stored, text_slices
 
 MAPS = 4096
 LONG = 64
@@ -459,6 +459,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[
     shared, shared_ids = map(docs.sparkSession.sparkContext.broadcast, sealed)
     del sealed
     give_back()
+    give_back_driver(docs.sparkSession)
     rows = _asked(docs, keep, shared, pattern, explicit, text).withColumn("__ids", fold_words(F.col("__ask"), ranks))
 
     def run(batches):

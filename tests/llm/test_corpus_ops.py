@@ -399,6 +399,35 @@ def test_bpe_has_one_way_for_all_words(spark, encoding, monkeypatch):
     assert not [k for k in vars(byte_bpe) if k.startswith("fold") and k != "fold_words"]
 
 
+@pytest.mark.parametrize("long", [0, 64])
+def test_bpe_of_any_ranks(spark, long, monkeypatch):
+    """Small random vocabularies with gaps, bytes without a rank and pieces that merging does not reach."""
+    monkeypatch.setattr(byte_bpe, "LONG", long)
+    g = random.Random(12)
+    for _ in range(6):
+        pieces = sorted({"".join(g.choice("abc") for _ in range(g.randint(2, 6))) for _ in range(60)} | set("abc"))
+        ranks = {x.encode(): r for x, r in zip(pieces, g.sample(range(500), len(pieces)))}
+        words = sorted({"".join(g.choice("abc") for _ in range(g.randint(1, 24))) for _ in range(150)} | {"abcabc" * 9, "aabbcc" * 8}) + pieces
+        got = spark.createDataFrame([(words,)], "w array<string>").select(byte_bpe.fold_words(F.col("w"), ranks)).first()[0]
+        assert [list(x) for x in got] == [[ranks[w.encode()]] if w.encode() in ranks else _merge(w.encode(), ranks) for w in words]
+    got = spark.createDataFrame([(["abd", "d", "", "dé"],)], "w array<string>").select(byte_bpe.fold_words(F.col("w"), {b"a": 7, b"b": 3, b"ab": 9})).first()[0]
+    assert [list(x) for x in got] == [[9, None], [None], [], [None, None, None]]
+
+
+def test_bpe_folds_numbers(spark):
+    """A step of the fold neither spells nor cuts: ranks are found by numbers of pieces, and one array is passed over once."""
+    ranks = {b"a": 7, b"b": 3, b"ab": 9, b"aba": 1, b"abab": 20}
+    plan = spark.createDataFrame([(["ab"],)], "w array<string>").select(byte_bpe.fold_words(F.col("w"), ranks))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and not re.search(r"\b(hex|slice|concat|regexp_extract_all)\(", plan)
+    pairs = byte_bpe.Pairs(ranks)
+    number = {x: i for i, x in enumerate(pairs.pieces, 1)}
+    for x in [*ranks, b"c"]:
+        for y in ranks:
+            k = number.get(x, pairs.none) << pairs.bits | number[y]
+            got = pairs.slots[(k + pairs.shifts[k % len(pairs.shifts)]) % len(pairs.slots)] ^ k << pairs.bits
+            assert (got if got < 1 << pairs.bits else None) == number.get(x + y)
+
+
 def test_bpe_numbers_of_words(monkeypatch):
     """Numbers are exact, also where hashes clash, and a look-up costs by the words asked for."""
     g = random.Random(9)

@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Every word (match of the split pattern) is spelt in bytes and folded by Spark higher-order functions:
-a step merges the neighbours of the lowest rank, looked up in a literal rank map (hex-spelt bytes,
-dealt to small maps because a map look-up is a scan), until none is left.  Words of any length and
-count go this way:
+a step merges the neighbours of the lowest rank, looked up in a literal rank map (pairs of numbered
+pieces in a perfect hash of two arrays, because a map look-up is a scan), until none is left.  Words of
+any length and count go this way:
 
 1. *Dictionary*: the distinct words of every slice of text are counted over the slices; the words
    found in most slices (``max_words`` at most, so that it can be broadcast) are folded once for all.
@@ -41,6 +41,8 @@ from .common import give_back, give_back_driver, stored, text_slices
 
 MAPS = 4096
 LONG = 64
+#: bits of a place in a word of LONG bytes at most
+PLACE = 7
 #: bytes of text whose words are listed at a time, for the dictionary and for encoding
 COUNT_SLICE = 8 << 20
 SLICE = 2 << 20
@@ -93,72 +95,169 @@ def explicit_pattern(pattern: str) -> str:
 # --- folding -------------------------------------------------------------------------------------
 
 
-def rank_literal(ranks: dict[bytes, int]) -> F.Column:
-    """The rank map as one literal: MAPS small maps from hex (in capitals, as Spark writes it) to rank."""
-    dealt: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for k, v in ranks.items():
-        h = k.hex().upper()
-        dealt[zlib.crc32(h.encode()) % MAPS][h] = v
-    return F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def _let(value: F.Column, body) -> F.Column:
-    """``body`` of ``value``, evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def fold_words(words: F.Column, ranks: dict[bytes, int]) -> F.Column:
-    """array<string> of words to array<array<int>> of their ids."""
+class Pairs:
+    """The ranked merges in numbers: a piece is its place in the order of ranks, from 1 on.
+
+    ``slots`` is a perfect hash of all pairs of pieces whose joined bytes are a piece: the pair (a, b) with key
+    k = a << bits | b can only be at slots[(k + shifts[k % len(shifts)]) % len(slots)], which holds
+    k << bits | number of the joined piece (0: nobody), so a look-up is two array reads whatever the size of the vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import random
+
+        self.pieces = sorted(ranks, key=ranks.get)
+        self.ids = [ranks[x] for x in self.pieces]
+        number = {x: i for i, x in enumerate(self.pieces, 1)}
+        for i in range(256):  # a byte without a rank can still be part of a piece
+            number.setdefault(bytes([i]), len(number) + 1)
+        self.bytes = [number[bytes([i])] for i in range(256)]
+        self.none = len(number) + 1
+        self.bits = self.none.bit_length()
+        if 3 * self.bits > 63:
+            raise ValueError("a vocabulary of 2 million pieces or more")
+        self.joined = {}
+        for x in self.pieces:
+            for i in range(1, len(x)):
+                left, right = number.get(x[:i]), number.get(x[i:])
+                if left and right:
+                    self.joined[left << self.bits | right] = number[x]
+        keys, n = list(self.joined), max(1, len(self.joined) // 4)
+        m = len(keys) * 5 // 4 + 2
+        while len({(k % n, k % m) for k in keys}) < len(keys):
+            m += 1
+        dealt: list[list[int]] = [[] for _ in range(n)]
+        for k in keys:
+            dealt[k % n].append(k)
+        self.slots, self.shifts = [0] * m, [0] * n
+        g, used = random.Random(8), bytearray(m)
+        for at in sorted(range(n), key=lambda i: -len(dealt[i])):
+            places = [k % m for k in dealt[at]]
+            shift = next(d for d in iter(lambda: g.randrange(m), -1) if not any(used[(x + d) % m] for x in places))
+            self.shifts[at] = shift
+            for k, x in zip(dealt[at], places):
+                used[(x + shift) % m] = 1
+                self.slots[(x + shift) % m] = k << self.bits | self.joined[k]
+
+    def unreached(self) -> dict[str, int]:
+        """Pieces that merging their bytes does not give, with their ids; a word that equals one is taken whole."""
+        out, never = {}, self.none
+        for i, x in enumerate(self.pieces, 1):
+            part = [self.bytes[c] for c in x]
+            while len(part) > 1:
+                near = [self.joined.get(a << self.bits | b, never) for a, b in zip(part, part[1:])]
+                low = min(near)
+                if low == never:
+                    break
+                at = near.index(low)
+                part[at : at + 2] = [low]
+            if part != [i]:
+                try:
+                    out[x.decode()] = self.ids[i - 1]
+                except UnicodeDecodeError:  # no whole word
+                    pass
+        return out
 
-    def folded(maps):
-        def rank(h):
-            return F.get(maps, F.pmod(F.crc32(h.cast("binary")), F.lit(MAPS)).cast("int"))[h]
 
-        def state(p, r):
-            """pieces, ranks of neighbours, and the lowest of these"""
-            return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))
+@functools.lru_cache(2)
+def _literals(ranks: tuple[tuple[bytes, int], ...]) -> tuple[Pairs, str, str, str, str]:
+    pairs = Pairs(dict(ranks))
+    whole: list[dict[str, int]] = [{} for _ in range(MAPS)]
+    unreached = pairs.unreached()
+    for w, v in unreached.items():
+        whole[zlib.crc32(w.encode()) % MAPS][w] = v
+    plain = pairs.ids == list(range(len(pairs.ids)))
+    return pairs, *(json.dumps(x, separators=(",", ":")) for x in (pairs.slots, pairs.shifts, [] if plain else pairs.ids, whole if unreached else []))
 
-        def one(p, r, m):
-            """merge the first place of the lowest rank"""
 
-            def at(j, t):
-                none = F.slice(r, F.lit(1), F.lit(0))
-                left = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), t)))).otherwise(none)
-                right = F.when(j + 1 < F.size(p), F.array(rank(F.concat(t, F.get(p, j + 1))))).otherwise(none)
-                new = F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(r)))
-                return _let(new, lambda r2: state(F.concat(F.slice(p, F.lit(1), j - 1), F.array(t), F.slice(p, j + 2, F.size(p))), r2))
+def _let(value: F.Column, body) -> F.Column:
+    """``body`` of ``value``, evaluated once: the end of a fold over nothing, which copies neither."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
-            return _let(F.array_position(r, m).cast("int"), lambda j: _let(F.concat(F.get(p, j - 1), F.get(p, j)), lambda t: at(j, t)))
 
-        def every(p, r, m):
+def fold_words(words: F.Column, ranks: dict[bytes, int]) -> F.Column:
+    """array<string> of words to array<array<int>> of their ids.
+
+    A word is one array of longs: joined << (bits + PLACE) | place << bits | number for every piece, ``joined``
+    being what it and the next piece join to (1 << bits: nothing), so the least long is the first place of the lowest rank."""
+    pairs, *texts = _literals(tuple(ranks.items()))
+    bits, top = pairs.bits, pairs.bits + PLACE
+    long = lambda x: F.lit(x).cast("long")
+    none, over, idle, pad = (long(x) for x in (pairs.none, 1 << bits, 1 << bits << top, 1 << bits << top | pairs.none))
+    n_slots, n_shifts = long(len(pairs.slots)), long(len(pairs.shifts))
+    number = lambda x: x.bitwiseAND(long((1 << bits) - 1))
+    low = lambda x: x.bitwiseAND(long((1 << top) - 1))
+    place = lambda x: x.bitwiseAND(long((1 << top) - (1 << bits)))
+    joined = lambda x: F.shiftright(x, top)
+    tables = [F.from_json(F.lit(x), t) for x, t in zip(texts, ("array<bigint>", "array<int>", "array<int>", "array<map<string,int>>"))]
+    alphabet = F.from_json(F.lit(json.dumps(pairs.bytes)), "array<bigint>")
+    plain, some_unreached = texts[2] == "[]", texts[3] != "[]"
+
+    def folded(slots, shifts, named, whole, alphabet):
+        def look(a, b):
+            """number of what two pieces join to, or ``over``"""
+            return _let(F.shiftleft(a, bits).bitwiseOR(b), lambda k: F.least(slots[(k + shifts[k % n_shifts]) % n_slots].bitwiseXOR(F.shiftleft(k, bits)), over))
+
+        def entry(x, b):
+            """place and number ``x`` before the piece ``b``"""
+            return F.shiftleft(look(number(x), b), top).bitwiseOR(x)
+
+        def number_at(e, i):
+            return number(F.coalesce(F.get(e, i), none))
+
+        def one(e, i, m):
+            """merge place ``i`` to ``m``; the array keeps its length"""
+
+            def at(x, t):
+                moved = F.when(t > i, F.coalesce(F.get(e, t + 1), pad)).when(t + 1 < i, x)
+                return moved.when(t < i, entry(low(x), m)).otherwise(entry(place(x).bitwiseOR(m), number_at(e, t + 2)))
+
+            return F.transform(e, at)
+
+        def first(e, least):
+            return _let((F.array_position(e, least) - 1).cast("int"), lambda i: _let(joined(least), lambda m: one(e, i, m)))
+
+        def every(e, m):
             """merge all places of the lowest rank, from left to right, if that equals one by one"""
-            chosen = F.split(F.replace(F.array_join(F.transform(r, lambda x: F.when(x == m, "1").otherwise("0")), ""), F.lit("11"), F.lit("10")), "")
+            chosen = F.split(F.replace(F.array_join(F.transform(e, lambda x: F.when(joined(x) == m, "1").otherwise("0")), ""), F.lit("11"), F.lit("10")), "")
 
             def merged(s, k):
-                new = F.transform(k, lambda i: F.when(F.get(s, i) == "1", F.concat(F.get(p, i), F.get(p, i + 1))).otherwise(F.get(p, i)))
+                new = F.transform(k, lambda i: F.when(F.get(s, i) == "1", m).otherwise(number(F.get(e, i))))
                 hit = lambda t: F.coalesce(F.get(s, F.get(k, t)) == "1", F.lit(False))
-                ranked = lambda q: F.transform(F.slice(k, F.lit(2), F.size(k)), lambda i, t: F.when(hit(t) | hit(t + 1), rank(F.concat(F.get(q, t), F.get(q, t + 1)))).otherwise(F.get(r, i - 1)))
-                return _let(new, lambda q: _let(ranked(q), lambda r2: state(q, r2)))
-
-            kept = lambda s: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != "1"))
-            first = _let(F.array_position(r, m).cast("int"), lambda j: rank(F.concat(F.get(p, j - 1), F.get(p, j), F.get(p, j - 1))))
-            alike = lambda a: F.coalesce(a["m"] > m, F.lit(True)) & F.coalesce(first > m, F.lit(True))
-            return _let(_let(chosen, lambda s: _let(kept(s), lambda k: merged(s, k))), lambda a: F.when(alike(a), a).otherwise(one(p, r, m)))
-
-        def ids(h):
-            size = (F.length(h) / 2).cast("int")
-            start = _let(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)), lambda p: _let(F.transform(F.slice(p, F.lit(2), F.size(p)), lambda y, i: rank(F.concat(F.get(p, i), y))), lambda r: state(p, r)))
-            steps = F.sequence(F.lit(2), F.greatest(F.lit(2), size))
-            run = lambda merge: F.aggregate(steps, start, lambda a, _: F.when(a["m"].isNull(), a).otherwise(merge(a["p"], a["r"], a["m"])), lambda a: F.transform(a["p"], rank))
+                ranked = lambda q: F.transform(k, lambda i, t: F.when(hit(t) | hit(t + 1), entry(F.get(q, t), number_at(q, t + 1))).otherwise(F.get(e, i)))
+                # a merged piece and the start of a place right behind it
+                apart = F.forall(k, lambda i: F.when((F.get(s, i) == "1") & (F.get(s, i + 2) == "1"), look(m, number_at(e, i + 2)) > m).otherwise(True))
+                by_one = lambda: one(e, (F.array_position(s, F.lit("1")) - 1).cast("int"), m)
+                return _let(_let(new, ranked), lambda e2: F.when((joined(F.array_min(e2)) > m) & F.coalesce(apart, F.lit(True)), e2).otherwise(by_one()))
+
+            kept = lambda s: F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != "1"))
+            return _let(chosen, lambda s: _let(kept(s), lambda k: merged(s, k)))
+
+        def step(merge):
+            return lambda e, _: _let(F.array_min(e), lambda least: F.when(least >= idle, e).otherwise(merge(e, least)))
+
+        def ids(w):
+            # a byte is a letter of Latin-1
+            letters = F.split(F.decode(F.encode(w, "utf-8"), "iso-8859-1"), "")
+            numbers = F.transform(letters, lambda c: alphabet[F.ascii(c)])
+            start = lambda label: _let(numbers, lambda p: F.transform(p, lambda x, t: entry(label(x, t), number_at(p, t + 1))))
+            size = F.octet_length(w)
+            name = lambda x: (x - 1).cast("int") if plain else F.get(named, (x - 1).cast("int"))
+            known = lambda x: name(x) if len(pairs.pieces) + 1 == pairs.none else F.when(x <= len(pairs.pieces), name(x))
+            spelt = lambda e: F.transform(F.filter(e, lambda x: number(x) != none), lambda x: known(number(x)))
+            run = F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), size)), start(lambda x, t: F.shiftleft(t.cast("long"), bits).bitwiseOR(x)), step(first), spelt)
             # of a long word: root(n) rounds of root(n) steps, as idle steps cost as much as the word is long
             some = F.sequence(F.lit(0), F.ceil(F.sqrt(size)).cast("int"))
-            further = lambda a: F.aggregate(some, a, lambda b, _: F.when(b["m"].isNull(), b).otherwise(every(b["p"], b["r"], b["m"])))
-            run_long = lambda: F.aggregate(some, start, lambda a, _: F.when(a["m"].isNull(), a).otherwise(further(a)), lambda a: F.transform(a["p"], rank))
-            return _let(rank(h), lambda w: F.when(w.isNotNull(), F.array(w)).when(size == 0, F.array().cast("array<int>")).when(size <= LONG, run(one)).otherwise(run_long()))
+            further = lambda e, _: F.aggregate(some, e, step(lambda x, least: every(x, joined(least))))
+            run_long = F.aggregate(some, start(lambda x, t: x), step(further), spelt)
+            merge = F.when(size == 0, F.array().cast("array<int>")).when(size <= LONG, run).otherwise(run_long)
+            if not some_unreached:
+                return merge
+            found = F.get(whole, F.pmod(F.crc32(w.cast("binary")), F.lit(MAPS)).cast("int"))[w]
+            return _let(found, lambda v: F.when(v.isNotNull(), F.array(v)).otherwise(merge))
 
-        return F.transform(words, lambda w: _let(F.hex(F.encode(w, "utf-8")), ids))
+        return F.transform(words, ids)
 
-    return _let(rank_literal(ranks), folded)
+    return _let(tables[0], lambda a: _let(tables[1], lambda b: _let(tables[2], lambda c: _let(tables[3], lambda d: _let(alphabet, lambda e: folded(a, b, c, d, e))))))
 
 
 # --- words of texts ------------------------------------------------------------------------------
